@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,6 +45,51 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits in one row of a filter, as bitmap_construct_agg makes them.
+FILTER_ROW = 32_768
+
+
+def filter_bits(rows: int, bits_per_row: int = 16, max_bits: int = 1 << 30) -> int:
+    return min(max_bits, max(FILTER_ROW, 1 << (bits_per_row * max(rows, 1) - 1).bit_length()))
+
+
+def filter_positions(key: str, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in (1, 2)]
+
+
+def packed(positions: DataFrame, column: str) -> DataFrame:
+    """A Bloom filter of these positions, in rows of FILTER_ROW bits."""
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(column)).alias("_bits")
+    return positions.groupBy(F.bitmap_bucket_number(column).alias("_bucket")).agg(bits)
+
+
+def _bit(bits: Column, position: Column) -> Column:
+    """Whether a row of the filter has this bit; a missing row has none."""
+    place = F.bitmap_bit_position(position)
+    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
+
+
+def probe(df: DataFrame, key: str, bloom: DataFrame, bits: int, out: str) -> DataFrame:
+    """Add out: whether the filter may hold the key. The filter has at most bits / 8 bytes and is broadcast."""
+    found = F.lit(True)
+    for k, position in enumerate(filter_positions(key, bits)):
+        part = F.broadcast(bloom.select(F.col("_bucket").alias(f"_bucket{k}"), F.col("_bits").alias(f"_bits{k}")))
+        df = df.join(part, F.bitmap_bucket_number(position) == F.col(f"_bucket{k}"), "left")
+        found = found & _bit(F.col(f"_bits{k}"), position)
+    return df.withColumn(out, found).drop("_bucket0", "_bits0", "_bucket1", "_bits1")
+
+
+def bloom_of(keys: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
+    bits = filter_bits(rows)
+    return stash(packed(keys.select(F.explode(F.array(*filter_positions(key, bits))).alias("_p")), "_p"), "bloom"), bits
+
+
+def may_hold(df: DataFrame, key: str, bloom: tuple[DataFrame, int]) -> DataFrame:
+    """The rows whose key the filter may hold, before anything of theirs is shuffled."""
+    return probe(df, key, *bloom, "_may").where("_may").drop("_may")
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Join every row to its group's single row.
 

@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_groups, stash
-
-#: Bits in one row of the filter, as bitmap_construct_agg makes them.
-ROW_BITS = 32_768
-
-
-def _bit(bits: Column, position: Column) -> Column:
-    """Whether a row of the filter has this bit; a missing row has none."""
-    place = F.bitmap_bit_position(position)
-    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), place % 8).cast("int")) != 0, F.lit(False))
-
+from .common import SPACES, filter_bits, filter_positions, join_groups, packed, probe, stash
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
     """Label every row with the row that stays of its group of equal texts.
@@ -48,17 +37,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "digests",
     )
     rows = digest.count()
-    bits = min(max_bits, max(ROW_BITS, 1 << (bits_per_row * max(rows, 1) - 1).bit_length()))
-    positions = digest.withColumns({f"_p{k}": F.pmod(F.xxhash64("_sha", F.lit(k)), F.lit(bits)) for k in (1, 2)})
-
-    met = positions.select(F.explode(F.array("_p1", "_p2")).alias("_p")).groupBy("_p").count().where("count > 1")
-    bloom = met.groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    bloom = stash(bloom, "bloom")  # at most bits / 8 bytes: max_bits bounds the broadcast
-    probed = positions
-    for k in (1, 2):
-        part = F.broadcast(bloom.select(F.col("_bucket").alias(f"_b{k}"), F.col("_bits").alias(f"_bits{k}")))
-        probed = probed.join(part, F.bitmap_bucket_number(f"_p{k}") == F.col(f"_b{k}"), "left")
-    probed = probed.withColumn("_again", _bit(F.col("_bits1"), F.col("_p1")) & _bit(F.col("_bits2"), F.col("_p2"))).select(*digest.columns, "_again")
+    bits = filter_bits(rows, bits_per_row, max_bits)
+    met = digest.select(F.explode(F.array(*filter_positions("_sha", bits))).alias("_p")).groupBy("_p").count().where("count > 1")
+    probed = probe(digest, "_sha", stash(packed(met, "_p"), "bloom"), bits, "_again")
 
     again = probed.where("_again").drop("_again")
     best = F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
