@@ -139,7 +139,7 @@ def pieces_of(documents: DataFrame, block: int = 64) -> DataFrame:
 
 def taken_of(documents: DataFrame, slots: DataFrame, id_col: str = "doc_id", block: int = 64) -> DataFrame:
     """For each document the words that the mix takes, repeats counted."""
-    times = slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")  # as many rows as blocks: never broadcast
     joined = pieces_of(documents, block).join(times, ["number", "block"], "left")
     sums = joined.groupBy("row", id_col, "size", "source_size", "target").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     return sums.select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -154,7 +154,7 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = stash(docs, "mix-input")
     documents, slots = mix(kept, id_col, text_col, source_col, block, **options)
-    drawn = pieces_of(documents, block).where("size > 0").join(slots.select("number", "round", "block"), ["number", "block"])
+    drawn = pieces_of(documents, block).where("size > 0").join(slots.select("number", "round", "block").hint("merge"), ["number", "block"])
     spans = drawn.groupBy("row", "round").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_spans"))
     numbered = kept.withColumn("_row", F.monotonically_increasing_id()).join(spans, F.col("_row") == spans["row"])
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))
