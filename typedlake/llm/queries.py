@@ -29,6 +29,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_of(*mix(_table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import sampled
+
+    return sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -39,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_sharding": op2_sharding,
     "op5_mixing": op5_mixing,
+    "op6_quality": op6_quality,
     "op10_jaccard_join": op10_jaccard_join,
 }
 

@@ -15,11 +15,15 @@ _BASE = 0x100000001B3
 
 
 class Stretch(NamedTuple):
-    """Words of the rows first..first+len(counts)-1: a hash each, in order, and how many each row has."""
+    """Words of the rows first..first+len(counts)-1: a hash each, in order, and how many each row has.
+
+    heads hashes the first bytes of each word, where the hasher is asked to.
+    """
 
     first: int
     hashes: np.ndarray
     counts: np.ndarray
+    heads: np.ndarray | None = None
 
     @property
     def starts(self) -> np.ndarray:
@@ -50,7 +54,8 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """Hashes words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. One for each task, for its tables."""
 
-    def __init__(self) -> None:
+    def __init__(self, head: int = 0) -> None:
+        self.head = head
         self.codes = np.arange(1, 257, dtype=np.uint64)
         self.codes[65:91] += np.uint64(32)
         self.solid = np.ones(256, bool)
@@ -92,8 +97,12 @@ class WordHasher:
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(self.codes[data] * self.powers[: len(data)], out=sums[1:])
             hashes = mix64((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+            heads = None
+            if self.head:
+                stop = np.minimum(start + self.head, end)
+                heads = mix64((sums[stop] - sums[start]) * self.inverse[start] + np.uint64(self.head << 8))
         counts = np.diff(np.searchsorted(start, offsets))
-        return Stretch(first, hashes, counts)
+        return Stretch(first, hashes, counts, heads)
 
 
 def ngrams(stretch: Stretch, n: int) -> tuple[np.ndarray, np.ndarray]:
