@@ -35,6 +35,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op8_lm_score": op8_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
