@@ -6,7 +6,7 @@ The steps, each a Spark stage over the rows of the one before:
 2. per document: the set's size and signature, its prefix (the fifth of its
    shingles that comes first, rare ones before common ones) and its count
    vector (shingles hashed into groups, counted);
-3. equal sets become one class; only classes go on;
+3. equal sets are one class, known by its signature, and go on as one;
 4. two sets that link share a shingle of both prefixes, so classes meet by
    prefix shingle; equal meeting lists become one;
 5. in each list an R-tree over the count vectors finds pairs whose overlap
@@ -205,8 +205,8 @@ def _describe(shingle: int, percent: int, levels):
                     place[own] = np.arange(len(own))
                     some = place[row] >= 0
                     counts = np.bincount(place[row[some]] * g + (hashes[some] & np.uint64(g - 1)).astype(np.int64), minlength=len(own) * g)
-                    for i, v in zip(own, np.minimum(counts, 65_535).astype(np.uint16).reshape(-1, g), strict=True):
-                        vectors[i] = v.tobytes()
+                    for i, v in zip(own, counts.reshape(-1, g), strict=True):
+                        vectors[i] = v.astype(np.uint8 if v.max(initial=0) < 256 else np.uint32).tobytes()
                 part = slice(stretch.first, stretch.first + len(n))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -224,10 +224,14 @@ def _describe(shingle: int, percent: int, levels):
 
 
 def _deal(width: int):
-    """Prefix shingles with their classes, dealt to so many shards, many rows in one."""
+    """Prefix shingles with their classes, dealt to so many shards, many rows in one; a task sends a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(0, np.int64)
         for batch in batches:
+            own, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+            batch = batch.take(pa.array(at[~np.isin(own, sent)]))
+            sent = np.union1d(sent, own)
             data, offsets = _binary(batch.column(1))
             token = data.view(np.uint64)
             sig = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets) // 8)
@@ -264,8 +268,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not tokens:
         return
     token, sig = np.concatenate(tokens), np.concatenate(sigs)
-    order = np.argsort(token, kind="stable")
+    order = np.lexsort((sig, token))
     token, sig = token[order], sig[order]
+    new = np.concatenate(([True], (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])))
+    token, sig = token[new], sig[new]
     first = np.concatenate(([True], token[1:] != token[:-1]))
     shared = ~first
     shared[:-1] |= ~first[1:]
@@ -307,8 +313,9 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            vectors = [np.frombuffer(v, np.uint16).astype(np.int32) for v in t.column("vector").to_pylist()]
-            edges = candidate_edges(t.column("sig").to_numpy(), t.column("n").to_numpy(), vectors, percent)
+            sizes = t.column("n").to_numpy()
+            vectors = [np.frombuffer(v, np.uint8 if len(v) == g else np.uint32).astype(np.int32) for v, g in zip(t.column("vector").to_pylist(), group_count(sizes), strict=True)]
+            edges = candidate_edges(t.column("sig").to_numpy(), sizes, vectors, percent)
             if edges:
                 yield _edge_batch(edges)
 
@@ -361,12 +368,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = dict(keyed.dtypes)["id"]
     rows = stash(keyed.mapInArrow(_describe(shingle, percent, levels), f"id {kind}, key long, n long, sig long, prefix binary, vector binary"), "sets")
     classes = stash(
-        rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector")),
+        rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.count(F.lit(1)).alias("rows")),
         "classes",
     )
-    dealt = classes.select("sig", "prefix").mapInArrow(_deal(width), "shard int, tokens binary, sigs binary")
+    dealt = rows.where("n > 0").select("sig", "prefix").mapInArrow(_deal(width), "shard int, tokens binary, sigs binary")
     lists = stash(dealt.repartition(width, "shard").mapInArrow(_meet, "list long, sig long").dropDuplicates(), "lists")
-    met = lists.join(classes.select("sig", "n", "vector"), "sig").select("list", "sig", "n", "vector")
+    vectors = may_hold(rows.where("n > 0").select("sig", "n", "vector"), "sig", bloom_of(lists, "sig", lists.count())).dropDuplicates(["sig"])
+    met = lists.join(vectors, "sig").select("list", "sig", "n", "vector")
     edges = met.repartition(width, "list").sortWithinPartitions("list").mapInArrow(_bounded(percent), "a long, b long")
     candidates = stash(connected(edges), "candidates")  # node, root
 
