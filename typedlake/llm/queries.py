@@ -41,6 +41,12 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymise
+
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_found")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
     "op8_lm_score": op8_lm_score,
+    "op9_pii": op9_pii,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
