@@ -43,6 +43,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats, read_back
+
+    said = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    return read_back(format_chats(said.unionByName(spark.createDataFrame(probe, "conv_id long, turn long, role string, text string"))))
+
+
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_score import lm_scores
 
@@ -67,12 +75,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_text": op3_html_text,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op7_chat": op7_chat,
     "op8_lm_score": op8_lm_score,
     "op9_pii": op9_pii,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_chat": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), joined AS (
+            SELECT conv_id, count(*) AS n_turns,
+                   string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+                   coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS learnt,
+                   sum(length(role || text) + length('<|start|><|message|><|end|>')
+                       + length(regexp_replace(role || chr(10) || text, '(<\\*(\||/?s>)|\[\\*/?INST\]|<<\\*/?SYS>>)', '\1#', 'g'))
+                       - length(role || chr(10) || text)) AS formatted_chars
+            FROM said GROUP BY conv_id
+        )
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(learnt) AS loss_chars,
+               sha256(learnt) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+        FROM joined
+    """,
     "op1_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, length(coalesce(text, '')) AS cp,
