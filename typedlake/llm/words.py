@@ -52,14 +52,19 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordHasher:
-    """Hashes words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. One for each task, for its tables."""
+    """Hashes words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. One for each task, for its tables.
 
-    def __init__(self, head: int = 0) -> None:
+    With bare, every ASCII character but letters and digits separates words.
+    """
+
+    def __init__(self, head: int = 0, bare: bool = False) -> None:
         self.head = head
         self.codes = np.arange(1, 257, dtype=np.uint64)
         self.codes[65:91] += np.uint64(32)
         self.solid = np.ones(256, bool)
         self.solid[[32, 9, 10, 11, 12, 13]] = False
+        if bare:
+            self.solid[:128] = [chr(c).isalnum() for c in range(128)]
         self.powers = self.inverse = np.ones(1, np.uint64)
 
     def _reach(self, n: int) -> None:
