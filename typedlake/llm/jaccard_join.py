@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, join_groups, may_hold, shuffle_width, stash
+from .common import bloom_of, join_groups, may_hold, probe, shuffle_width, stash
 from .components import connected
 from .words import WordHasher, mix64, shingles
 
@@ -397,9 +397,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays.
 
-    Of repeated rows with that id one stays. Rows without an id are kept.
+    Of rows that repeat that id one stays. Rows without an id are kept. Only
+    rows whose id a Bloom filter may hold among those to drop or repeated are
+    shuffled; the others pass straight through.
     """
-    named = jaccard_components(docs, id_col, text_col, **options)
-    gone = named.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))
+    named = stash(jaccard_components(docs, id_col, text_col, **options), "named")
+    gone = named.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    twice = named.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    suspects = stash(gone.unionByName(twice).distinct(), "suspects")
+    probed = probe(docs, id_col, *bloom_of(suspects, id_col, suspects.count()), "_suspect")
+    clear = probed.where(~F.col("_suspect") | F.col(id_col).isNull()).drop("_suspect")
+    held = probed.where(F.col("_suspect") & F.col(id_col).isNotNull()).drop("_suspect")
+    return clear.unionByName(held.join(gone.distinct(), id_col, "left_anti").dropDuplicates([id_col])).select(*docs.columns)
