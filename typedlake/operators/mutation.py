@@ -77,7 +77,8 @@ def upsert(old: DataFrame, incoming: DataFrame, key: tuple[str, ...], updates: t
     columns = old.columns
     whole = reduce(lambda a, b: a & b, [named(k).isNotNull() for k in key])
     times = F.count(F.lit(1)).over(Window.partitionBy(*[named(k) for k in key]))
-    once = incoming.withColumn("_n", F.when(whole, times).otherwise(1)).withColumn("_place", F.when(F.col("_n") == 1, F.col("_place")).otherwise(F.raise_error(F.lit("ON CONFLICT DO UPDATE touches a row twice")).cast("long"))).drop("_n")
+    single = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("ON CONFLICT DO UPDATE touches a row twice")).cast("boolean"))
+    once = incoming.withColumn("_n", F.when(whole, times).otherwise(1)).where(single).drop("_n")
     left, right = old.alias("t"), once.alias(PROPOSED)
     on = reduce(lambda a, b: a & b, [F.col(f"t.`{k}`") == F.col(f"{PROPOSED}.`{k}`") for k in key])
     sets = {a.column.name: F.col(f"{PROPOSED}.`{a.column.name}`") if a.kind == "excluded" else _value(a) for a in updates}

@@ -100,8 +100,9 @@ def load_one(name: str, sources: DataFrame, targets: DataFrame, base: Select, so
     rows = _wanted(sources, targets, base, source, target)
     keys = [named(t).alias(f"_k{i}") for i, t in enumerate(target)]
     one = rows.select(*keys, F.struct(*[named(n) for n in base.table.names]).alias("_row")).groupBy(*[f"_k{i}" for i in range(len(target))]).agg(F.count(F.lit(1)).alias("_n"), F.first("_row").alias("_row"))
-    single = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"relation {name}: a key has more than one target")).cast("boolean")).otherwise(F.col("_n").isNotNull())
-    out = sources.withColumn("key_present", _present(source)).join(one, [named(s) == F.col(f"_k{i}") for i, s in enumerate(source)], "left").withColumn("found", single)
+    single = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit(f"relation {name}: a key has more than one target")).cast("boolean"))
+    match = [named(s) == F.col(f"_k{i}") for i, s in enumerate(source)]
+    out = sources.withColumn("key_present", _present(source)).join(one.where(single), match, "left").withColumn("found", F.col("_n").isNotNull())
     taken = {n.lower() for n in sources.columns}
     added = [F.col(f"_row.`{n}`").alias(n if n.lower() not in taken else f"{base.table.name}_{n}") for n in base.table.names]
     return out.select(*[sources[c] for c in sources.columns], "key_present", "found", *added)
