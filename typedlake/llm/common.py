@@ -41,6 +41,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(columns: tuple[str, ...], own: tuple[str, ...]) -> list[Column]:
+    """Carried columns under their names, one that an operator has itself as doc_<name>."""
+    return [F.col(f"`_c_{c}`").alias(f"doc_{c}" if c in own else c) for c in columns]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -103,10 +108,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total:
     return rows.join(hot, key).unionByName(cold.join(light, key))
 
 
-def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, rows: int, cell_rows: int = 20_000) -> DataFrame:
+def running_total(df: DataFrame, group: list[str], order: list[str], value: str, out: str, rows: int, cell_rows: int = 4096, tie: str | None = None) -> DataFrame:
     """Add out: the sum of value over the rows before this one in its group.
 
-    The order is by hash cell, then by the order columns. A cell holds about
+    The order is by hash cell, then by the order columns, then by tie, which
+    has no part in the cell. A cell holds about
     cell_rows rows however large the group is, so no task gets a whole group.
     """
     cells = max(1, -(-rows // cell_rows))
@@ -114,6 +120,6 @@ def running_total(df: DataFrame, group: list[str], order: list[str], value: str,
     keys = [*group, "_cell"]
     before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     base = tagged.groupBy(*keys).agg(F.sum(value).alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys).orderBy(*order, *([tie] if tie else [])).rowsBetween(Window.unboundedPreceding, -1)
     placed = tagged.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return placed.join(base, keys).withColumn(out, F.col("_base") + F.col("_inside")).drop("_cell", "_base", "_inside")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, filter_bits, filter_positions, join_groups, packed, probe, stash
+from .common import SPACES, carried, filter_bits, filter_positions, join_groups, packed, probe, stash
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), bits_per_row: int = 16, max_bits: int = 1 << 30) -> DataFrame:
     """Label every row with the row that stays of its group of equal texts.
@@ -23,7 +23,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shuffle; the others keep themselves where they are.
 
     Returns id_col, keep_id, group_size, kept, text_sha256 and the carried
-    columns; other columns of docs are not looked at.
+    columns (one of these names as doc_<name>); other columns of docs are not
+    looked at.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     digest = stash(
@@ -49,4 +50,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = shared.select(*digest.columns, F.col("_best.id").alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_best.row")).alias("kept")).unionByName(
         once.select("*", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     )
-    return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"), *[F.col(f"_c_{c}").alias(c) for c in carry])
+    return out.select(F.col("_id").alias(id_col), "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"), *carried(carry, (id_col, "keep_id", "group_size", "kept", "text_sha256")))

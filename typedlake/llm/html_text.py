@@ -61,6 +61,7 @@ LABELLED = [
     (60, 0.0, 8, 0.0, 45, 0.0, 0, 0, 1), (45, 0.0, 60, 0.0, 80, 0.1, 0, 0, 1), (150, 0.05, 4, 0.0, 120, 0.0, 0, 0, 1), (20, 0.0, 60, 0.0, 50, 0.0, 0, 0, 1),
     (9, 0.0, 1, 1.0, 70, 0.0, 0, 0, 1), (7, 0.0, 60, 0.0, 80, 0.0, 0, 0, 1), (35, 0.2, 50, 0.0, 30, 0.1, 0, 0, 1), (18, 0.1, 40, 0.0, 25, 0.0, 0, 0, 1),
     (12, 0.0, 45, 0.0, 60, 0.0, 0, 0, 1), (80, 0.1, 2, 1.0, 10, 0.0, 0, 0, 1), (16, 0.0, 30, 0.0, 3, 1.0, 0, 0, 1), (200, 0.0, 1, 1.0, 12, 0.2, 0, 0, 1),
+    (80, 0.0, 80, 0.0, 1, 0.0, 0, 0, 1), (60, 0.0, 40, 0.0, 2, 0.0, 0, 0, 1), (100, 0.0, 1, 1.0, 1, 0.0, 0, 0, 1), (70, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
 ]
 
 

@@ -49,7 +49,7 @@ def permuted(index: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 65_536, most: float = 3.0, seed: int = 20) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 65_536, most: float = 3.0, seed: int = 20, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Plan a mix of the sources: which blocks of words it takes, and how often.
 
     Sources in code-point order, null last, weigh 1, 2, 3 and again; together
@@ -59,7 +59,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source are drawn: the whole part of its expectation, the rest multinomial
     over the fractions. Slot numbers of a source run on over the shards and map
     through a keyed permutation of its blocks, a new one for each round, so no
-    block is drawn more than most times. Everything is seeded: reruns agree.
+    block is drawn more than most times. Documents stand in their source in an order
+    of id and text hash, and everything is seeded: reruns agree however the
+    table is partitioned.
 
     A null or wordless text has size 0 and nothing taken; an empty table gives
     empty results; repeated rows are rows of their own. The driver holds one
@@ -67,14 +69,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Returns the documents (id_col, row, size, source, source_size, target,
     offset, number) and the slots (number, round, block). row tells repeated
-    ids apart, in the order of monotonically_increasing_id over docs.
+    ids apart: the unique numbers of row_col, or numbers made here.
     """
     spark = docs.sparkSession
     digest = stash(
         docs.select(
             docs[id_col].alias(id_col),
-            F.monotonically_increasing_id().alias("row"),
+            (docs[row_col] if row_col else F.monotonically_increasing_id()).alias("row"),
             docs[source_col].alias("source"),
+            F.xxhash64(docs[text_col]).alias("print"),
             F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ),
         "mix-digests",
@@ -90,9 +93,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         [(r["source"], i, s, t, b) for i, (r, s, t, b) in enumerate(zip(found, sizes, targets, blocks, strict=True))],
         f"_source {dict(digest.dtypes)['source']}, number int, source_size long, target double, _blocks long",
     )
-    placed = running_total(digest, ["source"], [id_col, "row"], "size", "offset", rows)
     few = F.broadcast(known) if len(found) <= 100_000 else known
-    documents = placed.join(few, F.col("source").eqNullSafe(F.col("_source")), "inner").drop("_source", "_blocks")
+    numbered = digest.join(few, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_blocks")
+    documents = running_total(numbered, ["number"], [id_col, "print"], "size", "offset", rows, tie="row").drop("print")
 
     shards = max(1, -(-int(expected.sum()) // shard_slots))
 
@@ -152,11 +155,10 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone; one drawn in three rounds gives three rows. Runs of white space
     inside the text become one space.
     """
-    kept = stash(docs, "mix-input")
-    documents, slots = mix(kept, id_col, text_col, source_col, block, **options)
+    kept = stash(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-input")
+    documents, slots = mix(kept, id_col, text_col, source_col, block, row_col="_mix_row", **options)
     drawn = pieces_of(documents, block).where("size > 0").join(slots.select("number", "round", "block").hint("merge"), ["number", "block"])
-    spans = drawn.groupBy("row", "round").agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_spans"))
-    numbered = kept.withColumn("_row", F.monotonically_increasing_id()).join(spans, F.col("_row") == spans["row"])
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"))
-    cut = F.flatten(F.transform("_spans", lambda s: F.slice(F.col("_words"), (s["first"] + 1).cast("int"), s["words"].cast("int"))))
-    return numbered.withColumn("_words", words).withColumn(text_col, F.array_join(cut, " ")).select(*docs.columns)
+    spans = drawn.groupBy(F.col("row").alias("_mix_row"), F.col("round").alias("_mix_round")).agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_mix_spans"))
+    words = F.regexp_extract_all(kept[text_col], F.lit(f"({WORD})"))
+    cut = F.flatten(F.transform("_mix_spans", lambda s: F.slice(F.col("_mix_words"), (s["first"] + 1).cast("int"), s["words"].cast("int"))))
+    return kept.join(spans, "_mix_row").withColumn("_mix_words", words).withColumn(text_col, F.array_join(cut, " ")).select(*docs.columns)

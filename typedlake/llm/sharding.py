@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stash
+from .common import carried, stash
 
 #: Parts of the hash order. Equal texts share a part, so a part is the atom that is never cut.
 PARTS = 1 << 16
@@ -57,7 +57,7 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
     row, so repeated rows get slots of their own.
 
     Returns id_col, size, text_crc32, law ('bytes'), shard, slot, grown_shard
-    (null) and the carried columns.
+    (null) and the carried columns (one of these names as doc_<name>).
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     digest = stash(
@@ -96,5 +96,5 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         F.col("_shard").alias("shard"),
         (F.col("_base") + F.col("_inside")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
-        *[F.col(f"_c_{c}").alias(c) for c in carry],
+        *carried(carry, (id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard")),
     )
