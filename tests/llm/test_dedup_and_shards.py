@@ -109,14 +109,14 @@ def test_jaccard(odd):
 
 
 def test_mix(odd):
-    got = taken_of(*mix(odd, block=4)).collect()
+    got = taken_of(*mix(odd, block=4), block=4).collect()
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in odd.collect())
     by_source = defaultdict(int)
     for r in got:
         assert 0 <= r["taken"] <= 3 * r["size"]
         by_source[r["source_size"], r["target"]] += r["taken"]
     assert all(abs(t - target) <= 0.02 * target + 8 for (_, target), t in by_source.items())
-    assert sorted(map(str, got)) == sorted(map(str, taken_of(*mix(odd, block=4)).collect()))
+    assert sorted(map(str, got)) == sorted(map(str, taken_of(*mix(odd, block=4), block=4).collect()))
     texts = mixed_texts(odd, block=4)
     taken = {k: v for k, v in Counter(x for r in got for x in [r["doc_id"]] * r["taken"]).items()}
     mixed = Counter(x for r in texts.select("doc_id", "text").collect() for x in [r["doc_id"]] * len(r["text"].split(" ")))
