@@ -102,6 +102,8 @@ def test_jaccard(odd):
             least[root(k)].append(i)
     wanted = Counter((i, len(sets[k]), min(least[root(k)], default=None) if sets[k] else i) for k, (i, _) in enumerate(source))
     assert Counter(tuple(r) for r in jaccard_components(odd).collect()) == wanted
+    for few in (2, 3, 5):  # groups in chunks give the same components
+        assert Counter(tuple(r) for r in jaccard_components(odd, together=few).collect()) == wanted
     left = one_of_each(odd)
     ids = Counter(r["doc_id"] for r in left.select("doc_id").collect())
     assert left.columns == odd.columns and all(n == 1 for i, n in ids.items() if i is not None)

@@ -11,7 +11,8 @@ The steps, each a Spark stage over the rows of the one before:
    prefix shingle; equal meeting lists become one;
 5. in each list an R-tree over the count vectors finds pairs whose overlap
    bound, the sum of coordinate minima, still reaches the threshold;
-6. connected candidates are verified on the shingles themselves.
+6. connected candidates are verified on the shingles themselves, large groups
+   in chunks.
 
 Only spanning edges leave steps 5 and 6, so a group of n near copies gives n
 rows and not their pairs.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, join_groups, may_hold, probe, shuffle_width, stash
+from .common import bloom_of, join_groups, may_hold, probe, shuffle_width, small_batches, stash
 from .components import connected
 from .words import WordHasher, mix64, shingles
 
@@ -35,6 +36,8 @@ COUNTERS = 1 << 20
 CHUNK = 1 << 13
 #: Bits of a shingle's hash that are kept.
 BITS = 48
+#: Sets that one task verifies together; larger groups are dealt into chunks of about so many.
+TOGETHER = 2000
 
 
 def group_count(n: np.ndarray) -> np.ndarray:
@@ -119,16 +122,34 @@ def linked_edges(sigs: np.ndarray, sets: list[np.ndarray], percent: int) -> list
         alive[front] = False
         while front:
             q = front.pop()
-            near = np.flatnonzero(alive & (sizes * 100 >= sizes[q] * percent) & (sizes * percent <= sizes[q] * 100))
-            for part in np.array_split(near, max(1, int(sizes[near].sum()) >> 22)):
-                if len(part):
-                    every = np.concatenate([sets[i] for i in part])
-                    place = np.minimum(np.searchsorted(sets[q], every), len(sets[q]) - 1)
-                    same = np.add.reduceat(sets[q][place] == every, np.concatenate(([0], np.cumsum(sizes[part])[:-1])))
-                    found = part[same >= needed(sizes[q], sizes[part], percent)]
-                    alive[found] = False
-                    front += found.tolist()
-                    edges += [(int(sigs[q]), int(sigs[f])) for f in found]
+            found = linked_to(q, np.flatnonzero(alive), sets, sizes, percent)
+            alive[found] = False
+            front += found.tolist()
+            edges += [(int(sigs[q]), int(sigs[f])) for f in found]
+    return edges
+
+
+def linked_to(q: int, near: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Those of near whose sets link with set q."""
+    found = [np.zeros(0, np.int64)]
+    near = near[(sizes[near] * 100 >= sizes[q] * percent) & (sizes[near] * percent <= sizes[q] * 100)]
+    for part in np.array_split(near, max(1, int(sizes[near].sum()) >> 22)):
+        if len(part):
+            every = np.concatenate([sets[i] for i in part])
+            place = np.minimum(np.searchsorted(sets[q], every), len(sets[q]) - 1)
+            same = np.add.reduceat(sets[q][place] == every, np.concatenate(([0], np.cumsum(sizes[part])[:-1])))
+            found.append(part[same >= needed(sizes[q], sizes[part], percent)])
+    return np.concatenate(found)
+
+
+def stray_edges(sigs: np.ndarray, sets: list[np.ndarray], stray: np.ndarray, main: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links of the stray sets to the others: all to sets that may be strays elsewhere, one to the main component."""
+    edges, sizes = [], np.array([len(s) for s in sets])
+    others = np.flatnonzero(~stray)
+    for q in np.flatnonzero(stray).tolist():
+        found = linked_to(q, others, sets, sizes, percent)
+        kept = np.concatenate((found[~main[found]], found[main[found]][:1]))
+        edges += [(int(sigs[q]), int(sigs[f])) for f in kept]
     return edges
 
 
@@ -346,7 +367,55 @@ def _verified(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+def _strays(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            sets = [np.frombuffer(v, np.uint64) for v in t.column("shingles").to_pylist()]
+            stray, main = (t.column(c).to_numpy().astype(bool) for c in ("stray", "main"))
+            edges = stray_edges(t.column("sig").to_numpy(), sets, stray, main, percent)
+            if edges:
+                yield _edge_batch(edges)
+
+    return run
+
+
+def _dealt(rows: DataFrame, run, width: int) -> DataFrame:
+    """Edges found within each group of rows; the first column names the group."""
+    group = rows.columns[0]
+    return rows.repartition(width, group).sortWithinPartitions(group).mapInArrow(run, "a long, b long")
+
+
+def large_group_edges(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """Edges that connect exactly the linked sets of large groups, never a whole group in one task.
+
+    members: root, chunks, sig, shingles. Each chunk of a group is verified
+    alone; then one set of each of its sizeable components meets those of the
+    other chunks; what is not in the group's largest component by then is
+    compared, in blocks, with every chunk.
+    """
+    own = stash(members.withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks"))), "large-groups")
+    first = stash(_dealt(own.select(F.xxhash64("root", "chunk").alias("part"), "sig", "shingles"), _verified(percent), width), "large-edges")
+    named = own.join(connected(first).select(F.col("node").alias("sig"), F.col("root").alias("comp")), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    sizeable = named.groupBy("root", "chunk", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig")).where(f"n >= {TOGETHER // 20}")
+    probes = own.join(sizeable.select("root", "sig"), ["root", "sig"], "left_semi").select("root", "sig", "shingles")
+    second = stash(_dealt(probes, _verified(percent), width).unionByName(first), "large-edges")
+    named = own.select("root", "chunks", "chunk", "sig").join(connected(second).select(F.col("node").alias("sig"), F.col("root").alias("comp")), "sig", "left")
+    named = stash(named.withColumn("comp", F.coalesce("comp", "sig")), "large-named")
+    largest = named.groupBy("root", "comp").count().groupBy("root").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
+    told = named.join(largest, "root").select("root", "sig", (F.col("comp") == F.col("largest")).alias("main"))
+    flagged = own.join(told, ["root", "sig"])
+    strays = flagged.where("not main")
+    held = strays.groupBy("root").agg(F.count(F.lit(1)).alias("strays"))
+    blocks = F.ceil(F.col("strays") / TOGETHER).cast("int")
+    where = lambda chunk, block: F.xxhash64("root", chunk, block).alias("part")
+    asked = strays.join(held, "root").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), blocks)).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    there = flagged.join(held, "root").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
+    columns = ["part", "sig", "shingles", "stray", "main"]
+    meeting = asked.withColumn("stray", F.lit(True)).withColumn("part", where("at", "block")).select(*columns).unionByName(there.withColumn("stray", F.lit(False)).withColumn("part", where("chunk", "block")).select(*columns))
+    return second.unionByName(_dealt(meeting, _strays(percent), width))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, together: int = TOGETHER) -> DataFrame:
     """Link documents whose sets of word shingles reach the similarity, and name the components.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a set holds the distinct
@@ -359,9 +428,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns id_col, n_shingles, component_id. Candidates lose no link: sets
     that link share a prefix shingle, and count vectors never bound an overlap
-    too low. Hashes have 48 bits within sets and 64 between.
+    too low. Hashes have 48 bits within sets and 64 between. A group of
+    candidates larger than together is verified in chunks.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     width = shuffle_width(spark)
     keyed = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(keyed.select("text"), shingle))  # COUNTERS bytes
@@ -380,10 +451,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     wanted = candidates.join(classes.select(F.col("sig").alias("node"), "key"), "node").select("root", F.col("node").alias("sig"), "key")
     wanted = stash(wanted, "wanted")
-    texts = may_hold(keyed.select("key", "text"), "key", bloom_of(wanted, "key", wanted.count()))
-    sets = texts.join(wanted.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]).select("key", "text").mapInArrow(_sets(shingle), "key long, shingles binary")
-    together = wanted.join(sets, "key").select("root", "sig", "shingles").repartition(width, "root").sortWithinPartitions("root")
-    links = together.mapInArrow(_verified(percent), "a long, b long")
+    groups = stash(wanted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / together).cast("long").alias("chunks")), "groups")
+    small, large = groups.where("chunks = 1"), groups.where("chunks > 1")
+
+    def members(of: DataFrame) -> DataFrame:
+        """Sets of the groups' classes, from the text of one document each."""
+        own = wanted.join(of, "root")
+        texts = may_hold(keyed.select("key", "text"), "key", bloom_of(own, "key", own.count()))
+        sets = texts.dropDuplicates(["key"]).join(own.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(_sets(shingle), "key long, shingles binary")
+        return own.join(sets, "key").select("root", "chunks", "sig", "shingles")
+
+    links = _dealt(members(small).select("root", "sig", "shingles"), _verified(percent), width)
+    if not large.isEmpty():
+        links = links.unionByName(large_group_edges(members(large), percent, width))
     linked = stash(connected(links).join(classes.select(F.col("sig").alias("node"), "id"), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
     named = classes.select("sig", "id", "rows").join(linked.join(least, "root").select(F.col("node").alias("sig"), "least"), "sig", "left")
