@@ -160,5 +160,6 @@ def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drawn = pieces_of(documents, block).where("size > 0").join(slots.select("number", "round", "block").hint("merge"), ["number", "block"])
     spans = drawn.groupBy(F.col("row").alias("_mix_row"), F.col("round").alias("_mix_round")).agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("_mix_spans"))
     words = F.regexp_extract_all(kept[text_col], F.lit(f"({WORD})"))
-    cut = F.flatten(F.transform("_mix_spans", lambda s: F.slice(F.col("_mix_words"), (s["first"] + 1).cast("int"), s["words"].cast("int"))))
-    return kept.join(spans, "_mix_row").withColumn("_mix_words", words).withColumn(text_col, F.array_join(cut, " ")).select(*docs.columns)
+    cut = lambda own: F.flatten(F.transform("_mix_spans", lambda s: F.slice(own, (s["first"] + 1).cast("int"), s["words"].cast("int"))))
+    text = F.get(F.transform(F.array(words), lambda own: F.array_join(cut(own), " ")), F.lit(0))  # the text is split once
+    return kept.join(spans, "_mix_row").withColumn(text_col, text).select(*docs.columns)
