@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stash
+from .common import shuffle_width, small_batches, stash
 from .words import WordHasher, mix64
 
 #: Hash buckets of each model; their number is fixed, and so is what is broadcast (8 MB).
@@ -19,6 +19,9 @@ CHUNK = 1 << 13
 HEAD = 5
 #: Pseudo-counts that pull a bucket's ratio to 1.
 PULL = 3.0
+#: How much more a bucket counts whose ratio, pulled by TAIL_PULL pseudo-counts, lies below -TAIL_FROM: a few words that
+#: target text never has would else drown among a long text's many ordinary ones.
+TAIL, TAIL_PULL, TAIL_FROM = 3.0, 20.0, 0.5
 #: Spread of the Gumbel noise in units of log weight.
 TEMPERATURE = 0.1
 
@@ -60,7 +63,7 @@ def fit(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> np.ndar
     The raw model counts all documents, the target model those in good, which
     is bounded by the caller. A bucket's expected target count is its share of
     the raw text; both get PULL pseudo-counts, so buckets with little text
-    weigh nothing.
+    weigh nothing. The lower tail counts more, see TAIL.
     """
     marked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(good.select(F.col(id_col).alias("id"), F.lit(True).alias("_good"))), "id", "left")
     texts = marked.select("text", F.coalesce("_good", F.lit(False)).alias("good"))
@@ -72,7 +75,8 @@ def fit(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> np.ndar
     counts = counts.reshape(4, BUCKETS)
     raw, target = counts[:2], counts[2:]
     expected = raw * (target.sum(1) / np.maximum(raw.sum(1), 1))[:, None]
-    return np.log((target + PULL) / (expected + PULL)).astype(np.float32)
+    ratio = lambda pull: np.log((target + pull) / (expected + pull))
+    return (ratio(PULL) + TAIL * np.minimum(ratio(TAIL_PULL) + TAIL_FROM, 0)).astype(np.float32)
 
 
 def weigh(docs: DataFrame, model, id_col: str, text_col: str, seed: int) -> DataFrame:
@@ -147,6 +151,7 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     kept. A null or empty text has weight 0.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     usable = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good is not null")
     usable = stash(usable.groupBy(id_col).agg(F.min("good").alias("good")).withColumn("fold", F.pmod(F.xxhash64(id_col), F.lit(5))).orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(labelled), "labelled")
     good = usable.where("good and fold > 0").select(id_col)
