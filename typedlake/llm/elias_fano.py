@@ -33,7 +33,7 @@ class Level:
     """Children of the nodes first..first+nodes-1 of the level above.
 
     pointers: for each node a one per child and then a zero; ranks: zeros
-    before each eighth word. children: the words, ascending within a node.
+    before each word. children: the words, ascending within a node.
     prob and back: quantised log10 of a child's probability and of a node's
     share for words it lacks.
     """
@@ -48,11 +48,10 @@ class Level:
     def build(cls, first: int, degrees: np.ndarray, children: np.ndarray, bits: int, prob: np.ndarray, back: np.ndarray) -> Level:
         total = len(children) + len(degrees)
         ends = np.cumsum(degrees) + np.arange(len(degrees))
-        flags = np.ones(-(-(total + 1) // 512) * 512, np.uint8)
+        flags = np.ones(-(-(total + 65) // 64) * 64, np.uint8)
         flags[ends] = 0
         pointers = np.packbits(flags, bitorder="little").view(np.uint64)
-        zeros = 64 - np.bitwise_count(pointers).astype(np.int64)
-        ranks = np.concatenate((np.zeros(1, np.int64), np.cumsum(zeros.reshape(-1, 8).sum(1))))
+        ranks = np.concatenate((np.zeros(1, np.int64), np.cumsum(64 - np.bitwise_count(pointers).astype(np.int64))))
         return cls(first, bits, pointers, ranks, pack(children, bits), prob, back)
 
     def save(self, stem: str) -> None:
@@ -64,46 +63,63 @@ class Level:
 
     @classmethod
     def map(cls, stem: str, first: int, bits: int) -> Level:
-        return cls(first, bits, *(np.load(f"{stem}.{name}.npy", mmap_mode="r") for name in cls.NAMES))
+        return cls(first, bits, *(np.load(f"{stem}.{name}.npy", mmap_mode="r").view(np.ndarray) for name in cls.NAMES))
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th zero of pointers."""
-        block = np.searchsorted(self.ranks, k, "right") - 1
-        left = k - self.ranks[block]
-        words = self.pointers[block[:, None] * 8 + np.arange(8)]
-        sums = np.cumsum(64 - np.bitwise_count(words).astype(np.int64), axis=1)
-        word = (sums <= left[:, None]).sum(1)
-        row = np.arange(len(k))
-        left = left - np.where(word > 0, sums[row, word - 1], 0)
-        octets = np.ascontiguousarray(words[row, word]).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(8 - np.bitwise_count(octets).astype(np.int64), axis=1)
-        octet = (sums <= left[:, None]).sum(1)
-        left = left - np.where(octet > 0, sums[row, octet - 1], 0)
-        return block * 512 + word * 64 + octet * 8 + _SELECT[octets[row, octet], left]
+        """Place of the k-th zero of pointers, k ascending: by rank to the word, by halves to the byte, by table to the bit."""
+        word = np.searchsorted(self.ranks, k, "right") - 1
+        left = k - self.ranks[word]
+        bits = self.pointers[word]
+        place = word << 6
+        for width in (32, 16, 8):
+            zeros = width - np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
+            later = left >= zeros
+            left -= zeros * later
+            place += width * later
+            bits = bits >> (np.uint64(width) * later.astype(np.uint64))
+        return place + _SELECT[(bits & np.uint64(255)).astype(np.int64), left]
 
     def ranges(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the children of these nodes (counted from first) begin and end."""
-        begin = np.where(node > 0, self._zero(np.maximum(node - 1, 0)) - node + 1, 0)
-        return begin, self._zero(node) - node
+        """Where the children of these nodes (counted from first, ascending) begin and end."""
+        before = np.where(node > 0, self._zero(np.maximum(node - 1, 0)), -1)
+        start = before + 1
+        rest = ~(self.pointers[start >> 6] >> (start & 63).astype(np.uint64))
+        run = np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        end = start + run
+        far = np.flatnonzero(run >= 64 - (start & 63))
+        if len(far):
+            end[far] = self._zero(node[far])
+        return start - node, end - node
 
     def child(self, at: np.ndarray) -> np.ndarray:
         return unpack(self.children, self.bits, at)
 
     def find(self, node: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Place of the word among the node's children, -1 where it is none: a successor search within the node."""
-        own, back = np.unique(node, return_inverse=True)
-        begin, end = self.ranges(own)
-        low, stop = begin[back], end[back]
-        high = stop.copy()
-        open_ = np.flatnonzero(low < high)
-        while len(open_):
-            middle = (low[open_] + high[open_]) >> 1
-            less = self.child(middle) < word[open_]
-            low[open_[less]] = middle[less] + 1
-            high[open_[~less]] = middle[~less]
-            open_ = open_[low[open_] < high[open_]]
+        """Place of the word among its node's children, -1 where it is none: a successor search within the node. Nodes ascend."""
+        runs = np.flatnonzero(np.concatenate((np.ones(min(1, len(node)), bool), node[1:] != node[:-1])))
+        begin, end = self.ranges(node[runs])
+        asked = np.diff(np.append(runs, len(node)))
+        low, stop = np.repeat(begin, asked), np.repeat(end, asked)
+        last = stop - 1
+        # a node that is asked for much is unpacked once; for the others every search goes on its own
+        for k in np.flatnonzero((asked >= 64) & (end - begin <= 48 * asked)).tolist():
+            own = slice(runs[k], runs[k] + asked[k])
+            low[own] += np.searchsorted(self.child(np.arange(begin[k], end[k])), word[own])
+            last[own] = low[own]
+        at = np.flatnonzero(low < last)
+        a, b, w = low[at], last[at], word[at]
+        while len(at):
+            middle = (a + b) >> 1
+            less = self.child(middle) < w
+            a = np.where(less, middle + 1, a)
+            b = np.where(less, b, middle)
+            more = a < b
+            done = ~more
+            low[at[done]] = a[done]
+            at, a, b, w = at[more], a[more], b[more], w[more]
         out = np.full(len(node), -1, np.int64)
         inside = np.flatnonzero(low < stop)
-        hit = inside[self.child(low[inside]) == word[inside]]
-        out[hit] = low[hit]
+        there = low[inside]
+        hit = self.child(there) == word[inside]
+        out[inside[hit]] = there[hit]
         return out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width
+from .common import shared_dir, shuffle_width, small_batches
 from .elias_fano import Level
 from .words import Stretch, WordHasher
 
@@ -30,6 +30,8 @@ END = np.uint64(0x5EED0FE0D0FE0D01)
 STEPS = 4096
 #: A task sends its counts on when it holds so many different ones.
 PENDING = 1 << 22
+#: Words that are looked up at once, with one stretch more below a million: their places then fit 20 bits.
+GROUP = 600_000
 
 
 class Shard(NamedTuple):
@@ -47,6 +49,18 @@ def quantised(log10: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-log10 * STEPS), 65_535).astype(np.uint16)
 
 
+def together(stretches: Iterator[Stretch]) -> Iterator[Stretch]:
+    """Neighbouring stretches as one, up to GROUP words: sorted searches then walk the levels in few strides."""
+    held: list[Stretch] = []
+    for s in stretches:
+        held.append(s)
+        if sum(len(x.hashes) for x in held) >= GROUP:
+            yield Stretch(held[0].first, np.concatenate([x.hashes for x in held]), np.concatenate([x.counts for x in held]))
+            held = []
+    if held:
+        yield Stretch(held[0].first, np.concatenate([x.hashes for x in held]), np.concatenate([x.counts for x in held]))
+
+
 def with_end(s: Stretch) -> tuple[np.ndarray, np.ndarray]:
     """The stretch's tokens with one END after each row, and the tokens per row."""
     rows = len(s.counts)
@@ -56,6 +70,15 @@ def with_end(s: Stretch) -> tuple[np.ndarray, np.ndarray]:
     return tokens, s.counts + 1
 
 
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The order that sorts keys: key and place sorted as one number where both fit 64 bits, which is several times faster."""
+    bits = max(1, (len(keys) - 1).bit_length())
+    if len(keys) and bits + int(keys.max()).bit_length() <= 64:
+        both = np.sort(keys.astype(np.uint64) << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+        return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return np.argsort(keys, kind="stable")
+
+
 class Trie:
     """The levels written so far, mapped by whoever uses them."""
 
@@ -84,7 +107,7 @@ class Trie:
 
     def vocabulary(self, s: Shard) -> tuple[np.ndarray, np.ndarray]:
         if (1, s.shard) not in self.open:
-            self.open[1, s.shard] = tuple(np.load(f"{self.stem(1, s.shard)}.{name}.npy", mmap_mode="r") for name in ("words", "counts"))
+            self.open[1, s.shard] = tuple(np.load(f"{self.stem(1, s.shard)}.{name}.npy", mmap_mode="r").view(np.ndarray) for name in ("words", "counts"))
         return self.open[1, s.shard]
 
     def level(self, n: int, s: Shard) -> Level:
@@ -94,7 +117,15 @@ class Trie:
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of words by hash, -1 and 0 where not known."""
-        own, back = np.unique(hashes, return_inverse=True)
+        order = order_of(hashes >> np.uint64(20))
+        own = hashes[order]
+        if len(own) and (own[1:] < own[:-1]).any():
+            order = np.argsort(hashes, kind="stable")
+            own = hashes[order]
+        new = np.concatenate((np.ones(min(1, len(own)), bool), own[1:] != own[:-1]))
+        back = np.empty(len(own), np.int64)
+        back[order] = np.cumsum(new) - 1
+        own = own[new]
         ids, counts = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
         width = np.uint64(-(-(1 << 64) // len(self.levels[0]))) if len(self.levels[0]) > 1 else None
         for s in self.levels[0]:
@@ -110,37 +141,38 @@ class Trie:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.words + 1))
 
-    def find(self, n: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Entries of level n with their log10 probability, -1 where there is none, and the context's share for others."""
-        place, prob, back = np.full(len(context), -1, np.int64), np.zeros(len(context)), np.zeros(len(context))
+    def find(self, n: int, context: np.ndarray, word: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of level n, -1 where there is none, and log10 probabilities; lower: those one level down."""
         known = np.flatnonzero(context >= 0)
-        order = known[np.argsort(context[known], kind="stable")]
-        sorted_ = context[order]
+        order = known[order_of(context[known])]
+        node, words = context[order], word[order]
+        found, log = np.full(len(order), -1, np.int64), lower[order]
         for s in self.levels[n - 1]:
-            a, b = np.searchsorted(sorted_, [s.first, s.first + s.contexts])
+            a, b = np.searchsorted(node, [s.first, s.first + s.contexts])
             if b > a:
-                level, own = self.level(n, s), order[a:b]
-                node = context[own] - s.first
-                back[own] = level.back[node] / -float(STEPS)
-                at = level.find(node, word[own])  # an unknown word, -1, is nobody's child
-                hit = at >= 0
-                place[own[hit]] = s.base + at[hit]
-                prob[own[hit]] = level.prob[at[hit]] / -float(STEPS)
-        return place, prob, back
+                level, own = self.level(n, s), node[a:b] - s.first
+                at = level.find(own, words[a:b])  # an unknown word, -1, is nobody's child
+                hit, share = at >= 0, level.back[own] / -float(STEPS)
+                share += log[a:b]
+                share[hit] = level.prob[at[hit]] / -float(STEPS)
+                log[a:b] = share
+                at[hit] += s.base
+                found[a:b] = at
+        place, out = np.full(len(context), -1, np.int64), lower.copy()
+        place[order], out[order] = found, log
+        return place, out
 
     def scored(self, ids: np.ndarray, counts: np.ndarray, new: np.ndarray, top: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of every token after those before it in its row, and the longest context's entry.
 
         new: how many tokens of the row stand before it. top: highest level used.
         """
-        log = self.unigram(counts)
-        entry = ids
-        for n in range(2, (top or self.order) + 1):
+        entry, log = ids, self.unigram(counts)
+        for n in range(2, min(top or self.order, len(self.levels)) + 1):
             context = np.full(len(ids), -1, np.int64)
             context[1:] = entry[:-1]
             context[new < n - 1] = -1
-            entry, prob, back = self.find(n, context, ids)
-            log = np.where(entry >= 0, prob, log + back)
+            entry, log = self.find(n, context, ids, log)
         return log, entry
 
 
@@ -150,72 +182,89 @@ def places(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(starts, counts)
 
 
-def _sent(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+def planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second bytes and so on: small and close values compress well."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+class Counts(NamedTuple):
+    """n-grams in ascending order, how often each comes, and the quantised probability it has one level down."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    lower: np.ndarray
+
+
+def _summed(parts: list[Counts]) -> Counts:
+    keys, counts, lower = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = order_of(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    summed = np.add.reduceat(counts[order].astype(np.int64), starts) if len(starts) else counts.astype(np.int64)
+    return Counts(keys[starts], summed, lower[order[starts]])
+
+
+def _sent(all_: Counts, shard: np.ndarray) -> pa.RecordBatch:
     some, at = np.unique(shard, return_index=True)
-    cuts = np.append(at, len(keys))
+    spans = list(zip(at, np.append(at[1:], len(shard)), strict=True))
+    steps = [np.diff(all_.keys[a:b], prepend=np.uint64(0)) for a, b in spans]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(some.astype(np.int32)),
-            pa.array([keys[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
-            pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary()),
+            pa.array([planes(x) for x in steps], pa.binary()),
+            pa.array([planes(all_.counts[a:b].astype(np.uint32)) for a, b in spans], pa.binary()),
+            pa.array([planes(all_.lower[a:b]) for a, b in spans], pa.binary()),
         ],
-        ["shard", "keys", "counts"],
+        ["shard", "steps", "counts", "lower"],
     )
 
 
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
-    return key[starts], np.add.reduceat(count, starts) if len(starts) else count
-
-
 def _counted(trie: Trie, n: int, shards: int):
     """n-grams of this task's texts with their counts, dealt by context."""
 
-    def dealt(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        key, count = _summed(keys, counts)
+    def dealt(held: list[Counts]) -> pa.RecordBatch:
+        every = _summed(held)
         if n == 1:
             width = np.uint64(-(-(1 << 64) // shards)) if shards > 1 else None
-            shard = np.zeros(len(key), np.int64) if width is None else (key // width).astype(np.int64)
-        else:
-            above = sum(s.entries for s in trie.levels[n - 2])
-            shard = (key // np.uint64(trie.words)).astype(np.int64) * shards // above
-        return _sent(key, count, shard)
+            return _sent(every, np.zeros(len(every.keys), np.int64) if width is None else (every.keys // width).astype(np.int64))
+        above = sum(s.entries for s in trie.levels[n - 2])
+        return _sent(every, (every.keys // np.uint64(trie.words)).astype(np.int64) * shards // above)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, keys, counts, held = WordHasher(), [], [], 0
+        hasher, held, size = WordHasher(), [], 0
         for batch in batches:
-            for s in hasher.stretches(batch.column(0)):
-                tokens, sizes = with_end(s)
+            for s in together(hasher.stretches(batch.column(0))):
+                keys, sizes = with_end(s)
+                lower = np.zeros(len(keys), np.uint16)
                 if n > 1:
-                    ids, seen = trie.ids(tokens)
+                    ids, seen = trie.ids(keys)
                     before = places(sizes)
-                    context = trie.scored(ids, seen, before, n - 1)[1] if n > 2 else ids
+                    log, context = trie.scored(ids, seen, before, n - 1)
                     at = np.flatnonzero(before >= n - 1)
-                    tokens = context[at - 1].astype(np.uint64) * np.uint64(trie.words) + ids[at].astype(np.uint64)
-                own, count = np.unique(tokens, return_counts=True)
-                keys.append(own)
-                counts.append(count)
-                held += len(own)
-                if held > PENDING:
-                    yield dealt(keys, counts)
-                    keys, counts, held = [], [], 0
-        if held:
-            yield dealt(keys, counts)
+                    keys = context[at - 1].astype(np.uint64) * np.uint64(trie.words) + ids[at].astype(np.uint64)
+                    lower = quantised(log[at])
+                held.append(_summed([Counts(keys, np.ones(len(keys), np.int64), lower)]))
+                size += len(held[-1].keys)
+                if size > PENDING:
+                    yield dealt(held)
+                    held, size = [], 0
+        if size:
+            yield dealt(held)
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    held: dict[int, tuple[list, list]] = {}
+def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, Counts]:
+    held: dict[int, list[Counts]] = {}
     for batch in batches:
-        for shard, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a, b = held.setdefault(shard, ([], []))
-            a.append(np.frombuffer(keys, np.uint64))
-            b.append(np.frombuffer(counts, np.uint32))
-    return {shard: _summed(*parts) for shard, parts in held.items()}
+        for shard, steps, counts, lower in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys = np.cumsum(from_planes(steps, np.uint64), dtype=np.uint64)
+            held.setdefault(shard, []).append(Counts(keys, from_planes(counts, np.uint32), from_planes(lower, np.uint16)))
+    return {shard: _summed(parts) for shard, parts in held.items()}
 
 
 def _written(trie: Trie, n: int, shards: int):
@@ -227,42 +276,24 @@ def _written(trie: Trie, n: int, shards: int):
             np.save(part, values)
             os.replace(part, f"{trie.stem(1, shard)}.{name}.npy")
 
-    def ngrams(shard: int, keys: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+    def ngrams(shard: int, found: Counts) -> tuple[int, int]:
         above = sum(s.entries for s in trie.levels[n - 2])
         first, last = -(-shard * above // shards), -(-(shard + 1) * above // shards)
-        context, word = (keys // np.uint64(trie.words)).astype(np.int64) - first, (keys % np.uint64(trie.words)).astype(np.int64)
+        context, word = (found.keys // np.uint64(trie.words)).astype(np.int64) - first, (found.keys % np.uint64(trie.words)).astype(np.int64)
         degrees = np.bincount(context, minlength=last - first)
-        totals = np.bincount(context, counts, minlength=last - first)
-        lower = lower_of(context + first, word)
-        prob = (counts + degrees[context] * 10.0**lower) / (totals[context] + degrees[context])
+        totals = np.bincount(context, found.counts, minlength=last - first)
+        prob = (found.counts + degrees[context] * 10.0 ** (found.lower / -float(STEPS))) / (totals + degrees)[context]
         back = np.where(degrees > 0, degrees / np.maximum(totals + degrees, 1), 1.0)
         Level.build(first, degrees, word, trie.bits, quantised(np.log10(prob)), quantised(np.log10(back))).save(trie.stem(n, shard))
         return first, last - first
 
-    def lower_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 probability of each word after its context without the first word."""
-        counts = np.zeros(len(word), np.int64)
-        for s in trie.levels[0]:
-            own = (word >= s.base) & (word < s.base + s.entries)
-            counts[own] = trie.vocabulary(s)[1][word[own] - s.base]
-        log = trie.unigram(counts)
-        if n == 3:
-            middle = np.zeros(len(word), np.int64)
-            for s in trie.levels[1]:
-                own = np.flatnonzero((context >= s.base) & (context < s.base + s.entries))
-                if len(own):
-                    middle[own] = trie.level(2, s).child(context[own] - s.base)
-            found, prob, back = trie.find(2, middle, word)
-            log = np.where(found >= 0, prob, log + back)
-        return log
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for shard, (keys, counts) in _gathered(batches).items():
-            first, contexts = (0, 0) if n == 1 else ngrams(shard, keys, counts)
+        for shard, found in _gathered(batches).items():
+            first, contexts = (0, 0) if n == 1 else ngrams(shard, found)
             if n == 1:
-                words(shard, keys, counts)
-            rows.append((shard, first, contexts, len(keys), int(counts.sum())))
+                words(shard, found.keys, found.counts)
+            rows.append((shard, first, contexts, len(found.keys), int(found.counts.sum())))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["shard", "first", "contexts", "entries", "total"])
 
@@ -281,7 +312,7 @@ def train(texts: DataFrame, order: int = 3) -> Trie:
     os.makedirs(folder)
     trie, shards = Trie(folder, order), shuffle_width(spark)
     for n in range(1, order + 1):
-        counted = texts.mapInArrow(_counted(trie, n, shards), "shard int, keys binary, counts binary")
+        counted = texts.mapInArrow(_counted(trie, n, shards), "shard int, steps binary, counts binary, lower binary")
         rows = counted.repartition(shards, "shard").mapInArrow(_written(trie, n, shards), "shard long, first long, contexts long, entries long, total long").collect()
         found = {r["shard"]: r for r in rows}
         base, level = 0, []
@@ -303,7 +334,7 @@ def _score(trie: Trie):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for s in hasher.stretches(batch.column(2)):
+            for s in together(hasher.stretches(batch.column(2))):
                 tokens, sizes = with_end(s)
                 ids, counts = trie.ids(tokens)
                 log, _ = trie.scored(ids, counts, places(sizes))
@@ -338,6 +369,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
 
     Returns id_col, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
+    small_batches(docs.sparkSession)
     held_out = F.crc32(F.coalesce(docs[id_col].cast("string"), F.lit("")).cast("binary")) % folds == held
     rows = docs.select(docs[id_col].alias("id"), held_out.alias("held_out"), docs[text_col].alias("text"))
     trie = train(rows.where("not held_out").select("text"), order)

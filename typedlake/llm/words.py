@@ -11,7 +11,6 @@ import pyarrow.compute as pc
 
 #: Texts are worked on in stretches of about this many bytes.
 STRETCH = 1 << 21
-_BASE = 0x100000001B3
 
 
 class Stretch(NamedTuple):
@@ -54,23 +53,18 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """Hashes words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. One for each task, for its tables.
 
-    With bare, every ASCII character but letters and digits separates words.
+    head, up to 8, asks for hashes of the first bytes too. With bare, every ASCII character but letters and digits separates words.
     """
 
     def __init__(self, head: int = 0, bare: bool = False) -> None:
         self.head = head
-        self.codes = np.arange(1, 257, dtype=np.uint64)
-        self.codes[65:91] += np.uint64(32)
+        self.lower = np.arange(256, dtype=np.uint8)
+        self.lower[65:91] += 32
+        self.kept = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
         self.solid = np.ones(256, bool)
         self.solid[[32, 9, 10, 11, 12, 13]] = False
         if bare:
             self.solid[:128] = [chr(c).isalnum() for c in range(128)]
-        self.powers = self.inverse = np.ones(1, np.uint64)
-
-    def _reach(self, n: int) -> None:
-        if len(self.powers) <= n:
-            with np.errstate(over="ignore"):
-                self.powers, self.inverse = (np.cumprod(np.r_[np.ones(1, np.uint64), np.full(n, base, np.uint64)]) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
 
     def stretches(self, column: pa.Array, rows: int = 4096) -> Iterator[Stretch]:
         """The column's words, a few rows at a time; every row comes once."""
@@ -96,18 +90,21 @@ class WordHasher:
         return np.flatnonzero(start), np.flatnonzero(end) + 1
 
     def _stretch(self, first: int, data: np.ndarray, offsets: np.ndarray) -> Stretch:
-        self._reach(len(data))
         start, end = self.spans(data, offsets)
+        size = end - start
+        low = np.zeros(len(data) + 8, np.uint8)
+        np.take(self.lower, data, out=low[: len(data)])
+        eight = np.ndarray((len(data) + 1,), "<u8", low.data, 0, (1,))  # the eight bytes from every place on
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(self.codes[data] * self.powers[: len(data)], out=sums[1:])
-            hashes = mix64((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
-            heads = None
-            if self.head:
-                stop = np.minimum(start + self.head, end)
-                heads = mix64((sums[stop] - sums[start]) * self.inverse[start] + np.uint64(self.head << 8))
-        counts = np.diff(np.searchsorted(start, offsets))
-        return Stretch(first, hashes, counts, heads)
+            hashes = mix64((eight[start] & self.kept[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            done, long = 8, np.flatnonzero(size > 8)
+            while len(long):
+                more = eight[start[long] + done] & self.kept[np.minimum(size[long] - done, 8)]
+                hashes[long] = mix64(hashes[long] * np.uint64(0xD6E8FEB86659FD93) + more)
+                done += 8
+                long = long[size[long] > done]
+        heads = mix64((eight[start] & self.kept[np.minimum(size, self.head)]) + np.uint64(self.head << 56)) if self.head else None
+        return Stretch(first, hashes, np.diff(np.searchsorted(start, offsets)), heads)
 
 
 def ngrams(stretch: Stretch, n: int) -> tuple[np.ndarray, np.ndarray]:
