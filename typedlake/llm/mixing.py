@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from .common import running_total, stash
 
+#: Words in a block.
+BLOCK = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,7 +51,7 @@ def permuted(index: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, shard_slots: int = 65_536, most: float = 3.0, seed: int = 20, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard_slots: int = 65_536, most: float = 3.0, seed: int = 20, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Plan a mix of the sources: which blocks of words it takes, and how often.
 
     Sources in code-point order, null last, weigh 1, 2, 3 and again; together
@@ -131,7 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return documents, slots
 
 
-def pieces_of(documents: DataFrame, block: int = 64) -> DataFrame:
+def pieces_of(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     """The documents' words by block: first (word of the document) and words, one null block where there are none."""
     last = F.floor((F.col("offset") + F.col("size") - 1) / block)
     spans = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("offset") / block), last))
@@ -140,7 +142,7 @@ def pieces_of(documents: DataFrame, block: int = 64) -> DataFrame:
     return cut.withColumns({"first": start - F.col("offset"), "words": F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block) - start})
 
 
-def taken_of(documents: DataFrame, slots: DataFrame, id_col: str = "doc_id", block: int = 64) -> DataFrame:
+def taken_of(documents: DataFrame, slots: DataFrame, id_col: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """For each document the words that the mix takes, repeats counted."""
     times = slots.groupBy("number", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")  # as many rows as blocks: never broadcast
     joined = pieces_of(documents, block).join(times, ["number", "block"], "left")
@@ -148,7 +150,7 @@ def taken_of(documents: DataFrame, slots: DataFrame, id_col: str = "doc_id", blo
     return sums.select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = 64, **options) -> DataFrame:
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, **options) -> DataFrame:
     """The mix as documents: for each round in which blocks of a document are drawn, a row with those words.
 
     The columns are those of docs. A document none of whose words are taken is
