@@ -116,6 +116,24 @@ def test_workspace_keeps_the_old_one(spark, tmp_path, accounts):
     assert load(spark, path, ACCOUNTS).count() == 4
 
 
+def test_returned_rows_and_transactions(accounts):
+    before = Workspace({"accounts": accounts}, {"accounts": KEYS})
+    after, done = before.run(Insert(ACCOUNTS).row(ACCOUNTS.id.set(9), ACCOUNTS["name"].set("i")).row(ACCOUNTS.id.set(8), ACCOUNTS["name"].set("h")).returning())
+    assert mutation.returned_all(done, ACCOUNTS) == [(9, None, "i"), (8, None, "h")] and mutation.affected(done) == 2
+    with pytest.raises(read.MultipleRows):
+        mutation.returned_one(done, ACCOUNTS)
+    with pytest.raises(read.NoRows):
+        mutation.returned_one(before.run(Delete(ACCOUNTS).where(ACCOUNTS.id.eq(77)))[1], ACCOUNTS)
+    assert mutation.returned_one(before.run(Update(ACCOUNTS).set(ACCOUNTS["name"].set("q")).where(ACCOUNTS.id.eq(1)))[1], ACCOUNTS) == (1, None, "q")
+    by_id = Select(ACCOUNTS).order_by(ACCOUNTS.id.asc())
+    assert [len(x) for x in after.fetch_batch(by_id, by_id.limit(2))] == [5, 2]
+    with pytest.raises(BuildError):
+        after.fetch_batch(by_id.no_wait())
+    with pytest.raises(BuildError):
+        before.transaction(lambda w: w.batch(Delete(ACCOUNTS).all_rows()), read_only=True)
+    assert before.transaction(lambda w: w.batch(Delete(ACCOUNTS).all_rows())).frames["accounts"].isEmpty() and before.transaction(lambda w: w, read_only=True) is before
+
+
 def test_constraints(accounts, orders):
     assert rows(constraints.row_violations(accounts, ["name"], {"big": "manager_id > 500"}, {"name": ["a"]}, {"name": 0})) == [("big", 1), ("enum_name", 1), ("length_name", 2), ("not_null_name", 1)]
     assert rows(constraints.unique_violations(orders, ["account_id"], "active")) == [(1, 2)]

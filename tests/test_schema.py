@@ -103,11 +103,11 @@ def test_renames():
 def test_entities():
     @dataclasses.dataclass
     class UserAccount:
-        ID: int = dataclasses.field(metadata={"orm": "primaryKey;column:id"})
-        Email: str = dataclasses.field(metadata={"orm": "type:varchar(320);unique"})
+        ID: int = dataclasses.field(metadata={"sql": "primaryKey;column:id"})
+        Email: str = dataclasses.field(metadata={"sql": "type:varchar(320);unique"})
         CreatedAt: str | None = None
         Tags: list[str] = dataclasses.field(default_factory=list)
-        Hidden: object = dataclasses.field(default=None, metadata={"orm": "-"})
+        Hidden: object = dataclasses.field(default=None, metadata={"sql": "-"})
 
         @staticmethod
         def configure(table):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..plans.statements import Assignment, Delete, Insert, Update
-from ..plans.table import BuildError
-from .read import condition, literal, named
+from ..plans.table import BuildError, Table
+from .read import MultipleRows, NoRows, condition, literal, named
 
 PROPOSED = "excluded"
 
@@ -128,3 +129,24 @@ def apply(old: DataFrame, statement: Insert | Update | Delete, keys: Keys = Keys
         case Update():
             return update(old, statement)
     return delete(old, statement)
+
+
+def affected(done: Rewrite) -> int:
+    """How many rows the statement inserted, changed or removed."""
+    return done.returning.count()
+
+
+def returned_all(done: Rewrite, table: Table) -> list[Any]:
+    """The rows touched as objects, an insert's in the order of its rows."""
+    rows = done.returning.orderBy("_place") if "_place" in done.returning.columns else done.returning
+    return [table.scan(r) for r in rows.select(*[named(n) for n in table.names]).collect()]
+
+
+def returned_one(done: Rewrite, table: Table) -> Any:
+    """The one row touched; none or more are errors. The old workspace is there to go back to."""
+    rows = done.returning.select(*[named(n) for n in table.names]).limit(2).collect()
+    if not rows:
+        raise NoRows("the statement touched no row")
+    if len(rows) > 1:
+        raise MultipleRows("the statement touched more than one row")
+    return table.scan(rows[0])

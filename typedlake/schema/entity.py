@@ -58,7 +58,7 @@ def sql_type(hint: Any) -> tuple[str, bool]:
 
 
 def _column(field: dataclasses.Field, hint: Any) -> ColumnDef | None:
-    tag = field.metadata.get("orm", "")
+    tag = field.metadata.get("sql", "")
     if tag == "-":
         return None
     options = parse_tag(tag)

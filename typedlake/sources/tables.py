@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import mutation
+from ..operators import mutation, read
 from ..operators.mutation import Keys, Rewrite
+from ..plans.select import Select
 from ..plans.statements import Delete, Insert, Update
 from ..plans.table import BuildError, Table
 
@@ -54,6 +55,23 @@ class Workspace:
             out, _ = out.run(s)
         return out
 
+    def fetch_batch(self, *statements: Select) -> list[list]:
+        """The rows of several SELECTs, all of this moment; all are checked before any runs."""
+        if not statements:
+            raise BuildError("a batch has no statements")
+        for s in statements:
+            s.checked()
+            if s.table.name not in self.frames:
+                raise BuildError("the workspace has no such table")
+        return [read.fetch_all(self.frames[s.table.name], s) for s in statements]
+
+    def transaction(self, work: Callable[[Workspace], Workspace], read_only: bool = False) -> Workspace:
+        """What work makes of this workspace; an error leaves this one as it was. A read-only one must come back unchanged."""
+        after = work(self)
+        if read_only and after is not self:
+            raise BuildError("a read-only transaction changes nothing")
+        return after
+
     def publish(self, folder: str) -> dict[str, str]:
         """Write every table to a new folder; the paths by name."""
         return {name: publish(df, f"{folder.rstrip('/')}/{name}") for name, df in self.frames.items()}
