@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -23,8 +25,8 @@ _own_dir: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the setting is missing, local mode gets a temporary folder and a
-    cluster gets an error, for its machines share no temporary folder.
+    Where the setting is missing, local mode gets a temporary folder, removed
+    at the end, and a cluster gets an error, for its machines share no temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="typedlake-"))
+        own = tempfile.mkdtemp(prefix="typedlake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_dir.append(f"file://{own}")
     return _own_dir[0]
 
 
