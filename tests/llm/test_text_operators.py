@@ -182,6 +182,17 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs.limit(0), benchmark).count() == 0 and decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_in_capitals(spark):
+    rng = random.Random(18)
+    accented = str.maketrans("aeiou", "áéíóú")
+    items = [words(rng, 20).translate(accented), words(rng, 25).translate(str.maketrans("abcdefgh", "абвгдежз"))]
+    docs = spark.createDataFrame([(k, words(rng, 100) + " " + x.upper() + " " + words(rng, 100)) for k, x in enumerate(items)] + [(2, words(rng, 300))], "doc_id long, text string")
+    for texts, known in ((docs, items), (docs.withColumn("text", F.lower("text")), [x.upper() for x in items])):
+        benchmark = spark.createDataFrame([*enumerate(known)], "item_id long, text string")
+        assert {(r["doc_id"], r["item_id"], r["overlap"]) for r in decontaminate.leaks(texts, benchmark).collect()} == {(0, 0, 1.0), (1, 1, 1.0)}
+        assert decontaminate.without_leaks(texts, benchmark).collect() == texts.where("doc_id = 2").collect()
+
+
 def test_common_length():
     item = decontaminate.Item(0, np.array([1, 2, 3, 4, 5], np.uint64), 3, {1: 1, 2: 2, 3: 4, 4: 8, 5: 16})
     assert decontaminate.common_length(np.array([9, 1, 3, 9, 5, 2], np.uint64), item)[0] == 3
