@@ -193,6 +193,19 @@ def test_leaks_in_capitals(spark):
         assert decontaminate.without_leaks(texts, benchmark).collect() == texts.where("doc_id = 2").collect()
 
 
+def test_short_leaks_among_rarer_words(spark):
+    rng = random.Random(28)
+    items = [words(rng, n) for n in range(4, 13) for _ in range(4)]
+    numbers = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    texts = [numbers(50 + k) + " " + x + " " + numbers(50) for k, x in enumerate(items)]
+    plain = [" ".join(items) for _ in range(20)]  # makes the items' words common
+    docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, t) for i, t in enumerate(plain))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, benchmark).where("overlap = 1 and cosine is not null").collect()}
+    assert found >= {(k, k) for k in range(len(items))}
+    assert {r["doc_id"] for r in decontaminate.without_leaks(docs, benchmark).collect()} == set()
+
+
 def test_common_length():
     item = decontaminate.Item(0, np.array([1, 2, 3, 4, 5], np.uint64), 3, {1: 1, 2: 2, 3: 4, 4: 8, 5: 16})
     assert decontaminate.common_length(np.array([9, 1, 3, 9, 5, 2], np.uint64), item)[0] == 3
