@@ -263,6 +263,16 @@ def test_pseudonyms(spark):
     assert pii.pseudonymise(frame.limit(0), count_col="n").count() == 0
 
 
+def test_values_beside_a_phone_number_and_keys_of_letters(spark):
+    phone, others = "+1 (826) 555-4081", ["190.137.223.204", "2024-03-17", "17.03.2024", "123-45-6789", "4111 1111 1111 1111", "12.34@mail.org"]
+    keys = ["ghp_" + "abcdEFGH" * 4, "sk-" + "abcdEFGH" * 3, "xoxb-" + "abcdEFGH" * 3, "AKIA" + "ABCDEFGH" * 2]
+    texts = [phone, *others, *keys, *(f"{phone} {v}" for v in others)]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), count_col="n").orderBy("doc_id").collect()]
+    alone = dict(zip(texts, got))
+    assert all(alone[k] != k and alone[k][:4] == k[:4] for k in keys)
+    assert got[-len(others) :] == [f"{alone[phone]} {alone[v]}" for v in others]
+
+
 def test_different_values_stay_different(spark):
     rows = [(f"{k:04d}",) for k in range(2000)]
     out = spark.createDataFrame(rows, "v string").select(pii._permuted("k", F.col("v"), [pii.DIGITS]).alias("p")).collect()

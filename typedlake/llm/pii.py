@@ -17,13 +17,16 @@ KINDS = [
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"),
     ("date", r"(?<![\d\-/.])(?:\d{4}[\-/.](?:0[1-9]|1[0-2])[\-/.](?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[\-/.](?:0[1-9]|1[0-2])[\-/.]\d{4}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/\d{4})(?![\d\-/]|\.\d)"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w\-])"),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?(?!OTHER)\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w\-])"),
     ("card", r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[abp])[_\-][A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])"),
 ]
+#: A phone number ends where a value of another format begins.
+OTHER = "|".join(f"(?:{p})" for k, p in KINDS if k in ("email", "ip", "date", "ssn", "card"))
+KINDS = [(k, p.replace("OTHER", OTHER)) for k, p in KINDS]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
-#: What a text must hold for any format to match: a digit, an at sign or a long hexadecimal run.
-HINT = r"[0-9@]|[a-fA-F]{32}"
+#: What a text must hold for any format to match: a digit, an at sign, a long hexadecimal run or the beginning of a key.
+HINT = r"[0-9@]|[a-fA-F]{32}|AKIA|(?:sk|pk|gh[po]|xox[abp])[_\-]"
 ROUNDS = 6
 #: Character classes, each permuted within itself. Fixed values.
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
