@@ -53,6 +53,16 @@ def carried(columns: tuple[str, ...], own: tuple[str, ...]) -> list[Column]:
     return [F.col(f"`_c_{c}`").alias(f"doc_{c}" if c in own else c) for c in columns]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Send Python workers at most BATCH_ROWS rows at once: texts are long, and workers share an executor's memory."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:

@@ -66,7 +66,8 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import pseudonymise
 
-    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_found")
+    key = spark.conf.get("spark.typedlake.pii.key", "for the test tables only")
+    return pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), key, count_col="n_found")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
