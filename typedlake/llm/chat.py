@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: The template's marks, each one token. Fixed values.
 START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
@@ -91,7 +90,6 @@ def format_chats(conversations: DataFrame, tokenizer: str = "/opt/tokenizers/byt
     Returns id_col, formatted, token_ids, token_starts, token_ends (offsets
     in code points) and loss_mask.
     """
-    small_batches(conversations.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         vocabulary = conversations.sparkSession.sparkContext.broadcast(f.read())
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -16,9 +16,6 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Most hot groups that are joined by broadcast; a group is hot with over 1/HOT_GROUPS of all rows.
 HOT_GROUPS = 1000
 
-#: Most rows in one Arrow batch.
-BATCH_ROWS = 1000
-
 _own_dir: list[str] = []
 
 
@@ -63,12 +60,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Send Python workers at most BATCH_ROWS rows at once: texts are long, and workers share an executor's memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

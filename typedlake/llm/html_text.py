@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: Elements that end a block, whose content is no text, and that stand around text that is not the article.
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol option p pre section select summary table tbody td template textarea tfoot th thead title tr ul video".split())
@@ -191,7 +190,6 @@ def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> Data
     are worked on whole, row by row. Where the tree finds nothing on a page,
     nothing is made up. An existing column named out is replaced.
     """
-    small_batches(pages.sparkSession)
     tree = train_tree(LABELLED)
 
     @F.pandas_udf("string")

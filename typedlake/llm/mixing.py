@@ -14,6 +14,10 @@ from .common import running_total, stash
 
 #: Words in a block.
 BLOCK = 32
+#: So many shards, the last ones, share their slots by what the sources still lack.
+CLOSING = 64
+#: Slots of one row while they are mapped, and about as many times more in one task.
+RUN, TASK_RUNS = 16_384, 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,17 +55,34 @@ def permuted(index: np.ndarray, n: int, key: tuple[int, ...]) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def shard_counts(slots: int, share: np.ndarray, seed: int, at: int) -> np.ndarray:
+    """How many slots of an output shard each source gets: one multinomial draw, the same in every run."""
+    if not slots or not share.any():
+        return np.zeros(len(share), np.int64)
+    return np.random.Generator(np.random.Philox(key=[seed, at])).multinomial(slots, share / share.sum())
+
+
+def closing_counts(slots: list[int], lacking: np.ndarray, seed: int, first: int) -> list[np.ndarray]:
+    """Draws of the last shards, each over what the sources lack after the ones before, so that the sums end near the targets."""
+    out = []
+    for k, n in enumerate(slots):
+        out.append(shard_counts(n, np.maximum(lacking, 0.0), seed, first + k))
+        lacking = lacking - out[-1]
+    return out
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard_slots: int = 65_536, most: float = 3.0, seed: int = 20, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Plan a mix of the sources: which blocks of words it takes, and how often.
 
     Sources in code-point order, null last, weigh 1, 2, 3 and again; together
     they take as many words as there are. A target stops at most times its
     source and the excess is shared again. The words of a source are packed
-    into blocks of the given length. For each output shard the slots of every
-    source are drawn: the whole part of its expectation, the rest multinomial
-    over the fractions. Slot numbers of a source run on over the shards and map
+    into blocks of the given length. For each output shard the counts of the
+    sources are drawn, multinomial over their shares of all slots; in the last
+    CLOSING shards over what each source still lacks of its own, so that sums stray
+    from the targets by the noise of one shard only. Slot numbers of a source run on over the shards and map
     through a keyed permutation of its blocks, a new one for each round, so no
-    block is drawn more than most times. Documents stand in their source in an order
+    block is drawn more than most times; slots that a source draws beyond that stay empty. Documents stand in their source in an order
     of id and text hash, and everything is seeded: reruns agree however the
     table is partitioned.
 
@@ -99,26 +120,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     numbered = digest.join(few, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_blocks")
     documents = running_total(numbered, ["number"], [id_col, "print"], "size", "offset", rows, tie="row").drop("print")
 
-    shards = max(1, -(-int(expected.sum()) // shard_slots))
+    total = int(round(expected.sum()))
+    shards = max(min(total, CLOSING), -(-total // shard_slots))
+    sizes_of = lambda at: total // shards + (at < total % shards)
+    opening = max(0, shards - CLOSING)
 
-    def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        share = expected / shards
-        whole = np.floor(share).astype(np.int64)
-        rest = share - whole
+    def rows_of(at: int, counts: np.ndarray) -> pd.DataFrame:
+        some = np.flatnonzero(counts)
+        return pd.DataFrame({"shard": np.full(len(some), at, np.int64), "number": some.astype(np.int32), "n": counts[some]})
+
+    def open_(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for at in pdf["id"]:
-                counts = whole.copy()
-                if rest.sum() > 0:
-                    rng = np.random.Generator(np.random.Philox(key=[seed, at]))
-                    counts += rng.multinomial(int(np.floor(rest.sum() + rng.random())), rest / rest.sum())
-                some = np.flatnonzero(counts)
-                yield pd.DataFrame({"shard": np.full(len(some), at, np.int64), "number": some.astype(np.int32), "n": counts[some]})
-
-    drawn = spark.range(0, shards, 1, min(shards, 1 + shards // 64)).mapInPandas(draw, "shard long, number int, n long")
+                yield rows_of(at, shard_counts(sizes_of(at), expected, seed, at))
+
+    drawn = spark.range(0, opening, 1, max(1, -(-opening // CLOSING))).mapInPandas(open_, "shard long, number int, n long")
+    lacking = expected.copy()
+    for r in drawn.groupBy("number").agg(F.sum("n").alias("n")).collect() if opening else []:
+        lacking[r["number"]] -= r["n"]
+
+    def close(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in parts:
+            for k, counts in enumerate(closing_counts([sizes_of(at) for at in range(opening, shards)], lacking, seed, opening)):
+                yield rows_of(opening + k, counts)
+
+    drawn = drawn.unionByName(spark.range(0, 1, 1, 1).mapInPandas(close, "shard long, number int, n long"))
     before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     runs = runs.join(F.broadcast(known.select("number", "_blocks")) if len(found) <= 100_000 else known.select("number", "_blocks"), "number")
     runs = runs.withColumn("n", F.least("n", F.floor(F.lit(most) * F.col("_blocks")).cast("long") - F.col("first"))).where("n > 0")
+    runs = runs.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    runs = runs.select("shard", "number", (F.col("first") + F.col("part") * RUN).alias("first"), F.least(F.lit(RUN), F.col("n") - F.col("part") * RUN).alias("n"), F.col("_blocks").alias("blocks"))
 
     def map_slots(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -129,7 +161,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                     own = at[turn == t]
                     yield pd.DataFrame({"shard": r.shard, "number": np.int32(r.number), "round": np.int32(t), "block": permuted(own, r.blocks, (seed, r.number, int(t)))})
 
-    slots = runs.select("shard", "number", "n", "first", F.col("_blocks").alias("blocks")).repartition("shard", "number").mapInPandas(map_slots, "shard long, number int, round int, block long")
+    tasks = 1 + total // (RUN * TASK_RUNS)
+    slots = runs.repartition(tasks, "shard", "number", "first").mapInPandas(map_slots, "shard long, number int, round int, block long")
     return documents, slots
 
 

@@ -9,38 +9,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, small_batches, stash
-from .words import WordHasher, mix64
+from .common import shuffle_width, stash, unused
+from .words import Stretch, WordHasher, mix64, ngrams, shingles
 
-#: Hash buckets of each model; their number is fixed, and so is what is broadcast (8 MB).
+#: Hash buckets of each kind of n-gram; their number is fixed, and so is what is broadcast (6 MB).
 BUCKETS = 1 << 18
 CHUNK = 1 << 13
-#: Bytes of the word-initial n-grams beside whole words.
+#: Bytes of the word-initial n-grams.
 HEAD = 5
-#: Pseudo-counts that pull a bucket's ratio to 1.
-PULL = 3.0
-#: How much more a bucket counts whose ratio, pulled by TAIL_PULL pseudo-counts, lies below -TAIL_FROM: a few words that
-#: target text never has would else drown among a long text's many ordinary ones.
-TAIL, TAIL_PULL, TAIL_FROM = 3.0, 20.0, 0.5
-#: Spread of the Gumbel noise in units of log weight.
-TEMPERATURE = 0.1
-
-
-def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 18)).astype(np.int64)
+#: The kinds of n-grams: words, beginnings of words, pairs of words.
+KINDS = 3
+#: Classes of text by label: the target, then what raw text is made of beside it.
+TARGET, TOXIC, POOR = range(3)
+#: A class has a probability of its own for a bucket where the documents that hold it differ from the target's by this many
+#: standard errors and the probabilities by the class's factor (its logarithm); elsewhere it shares the target's. Toxic text is
+#: like the target but for a few words; poor text differs all over.
+ERRORS, FACTORS = 5.0, {TOXIC: 2.5, POOR: 0.0}
+#: The sample has as many rows as have at least this chance to be of the target.
+LEAST = 0.05
+#: The raw model's part in every class's model.
+RAW = 0.1
+#: The hash of a pair of equal words, whatever the word.
+TWICE = np.uint64(0x7A1C3D5E9B2F4861)
+#: Least documents whose near copies are told by so many hashes of their rarest shingle.
+PRINTS = 3
+
+
+def _grams(s: Stretch) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bucket and row of every n-gram, kind by kind."""
+    pairs, rows = ngrams(s, 2)
+    if len(pairs):
+        ends = np.repeat(s.starts[1:], s.counts)
+        first = np.flatnonzero(np.arange(len(s.hashes)) + 2 <= ends)
+        pairs[s.hashes[first] == s.hashes[first + 1]] = TWICE
+    bucket = lambda hashes: (hashes >> np.uint64(64 - 18)).astype(np.int64)
+    return [(bucket(s.hashes), s.rows), (bucket(s.heads), s.rows), (bucket(pairs), rows)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of this task's texts: all words, all heads, the target's words, its heads."""
-    hasher, counts = WordHasher(HEAD), np.zeros((4, BUCKETS), np.int64)
+    """Bucket counts of this task's texts, by kind: all n-grams, those of each class, the documents of each class that hold them.
+
+    A document counts once more for every doubling of the n-gram in it.
+    """
+    hasher, counts = WordHasher(HEAD), np.zeros((7, KINDS, BUCKETS), np.int64)
     for batch in batches:
-        target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for s in hasher.stretches(batch.column(0)):
-            chosen = np.repeat(target[s.first : s.first + len(s.counts)], s.counts)
-            for k, hashes in enumerate((s.hashes, s.heads)):
-                where = _buckets(hashes)
-                counts[k] += np.bincount(where, minlength=BUCKETS)
-                counts[2 + k] += np.bincount(where[chosen], minlength=BUCKETS)
+            own = label[s.first : s.first + len(s.counts)]
+            for kind, (where, row) in enumerate(_grams(s)):
+                counts[0, kind] += np.bincount(where, minlength=BUCKETS)
+                for c in np.unique(own[own >= 0]).tolist():
+                    some = own[row] == c
+                    counts[1 + c, kind] += np.bincount(where[some], minlength=BUCKETS)
+                    once, times = np.unique(row[some] * BUCKETS + where[some], return_counts=True)
+                    counts[4 + c, kind] += np.bincount(once % BUCKETS, np.floor(np.log2(times)) + 1, BUCKETS).astype(np.int64)
     if counts.any():
         parts = counts.reshape(-1, CHUNK)
         some = np.flatnonzero(parts.any(1))
@@ -57,69 +79,118 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["chunk", "counts"])
 
 
-def fit(docs: DataFrame, good: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Log ratio of the target model to the raw model for each bucket of words and of heads.
+def ratios(raw: np.ndarray, counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
+    """Log ratio of each class's model to the target's for every kind and bucket, 0 where they share a probability.
 
-    The raw model counts all documents, the target model those in good, which
-    is bounded by the caller. A bucket's expected target count is its share of
-    the raw text; both get PULL pseudo-counts, so buckets with little text
-    weigh nothing. The lower tail counts more, see TAIL.
+    raw: counts of all text, kinds by buckets. counts, documents: n-grams, and
+    documents that hold them, by class. Each model is interpolated with the raw one.
     """
-    marked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(good.select(F.col(id_col).alias("id"), F.lit(True).alias("_good"))), "id", "left")
-    texts = marked.select("text", F.coalesce("_good", F.lit(False)).alias("good"))
-    width = min(4 * BUCKETS // CHUNK, shuffle_width(docs.sparkSession))
-    parts = texts.mapInArrow(_count, "chunk int, counts binary").repartition(width, "chunk").mapInArrow(_add, "chunk int, counts binary").collect()  # 4 * BUCKETS numbers
-    counts = np.zeros((4 * BUCKETS // CHUNK, CHUNK))
+    share = lambda x: x / np.maximum(x.sum(-1, keepdims=True), 1)
+    log = np.log((1 - RAW) * share(counts) + RAW * share(raw) + 1e-12)
+    out = log - log[TARGET]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for c in FACTORS:
+            here, there = documents[c], documents[TARGET]
+            expected = (here + there) * (here.sum(1, keepdims=True) / np.maximum((here + there).sum(1, keepdims=True), 1))
+            part = lambda n, e: np.where(n > 0, n * np.log(n / e), 0.0)
+            evidence = 2 * (part(here, expected) + part(there, here + there - expected))
+            out[c][(evidence < ERRORS**2) | (np.abs(out[c]) < FACTORS[c])] = 0.0
+    return out[1:].astype(np.float32)
+
+
+class Model:
+    """The shares of the classes, and the log ratios of all but the target, by kind and bucket."""
+
+    def __init__(self, shares: np.ndarray, log_ratios: np.ndarray) -> None:
+        self.shares, self.log_ratios = shares, log_ratios
+
+    def weights(self, s: Stretch) -> np.ndarray:
+        """log(target / raw) for the rows of a stretch, where raw text is the mixture of all classes."""
+        sums = np.zeros((len(self.log_ratios), len(s.counts)))
+        for kind, (where, row) in enumerate(_grams(s)):
+            for c, each in enumerate(self.log_ratios[:, kind]):
+                sums[c] += np.bincount(row, each[where].astype(np.float64), len(s.counts))
+        with np.errstate(divide="ignore"):
+            return -np.logaddexp.reduce(np.vstack((np.zeros(len(s.counts)), sums)) + np.log(self.shares)[:, None])
+
+    @property
+    def edge(self) -> float:
+        """The weight from which a document may be of the target: with a chance of at least LEAST."""
+        return float(np.log(LEAST / self.shares[0])) if self.shares[0] > 0 else float("-inf")
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Smallest hashes of each text's five-word shingles: near copies mostly have the same."""
+    hasher = WordHasher()
+    for batch in batches:
+        for s in hasher.stretches(batch.column(1)):
+            hashes, row = shingles(s)
+            part = slice(s.first, s.first + len(s.counts))
+            columns = []
+            for k in range(PRINTS):
+                least = np.full(len(s.counts), np.uint64(2**64 - 1))
+                np.minimum.at(least, row, mix64(hashes ^ np.uint64(k * 0x51ED270B4F35A1)))
+                columns.append(pa.array(least.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[part], *columns], ["id", *(f"p{k}" for k in range(PRINTS))])
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled: int) -> DataFrame:
+    """id and class of at most so many labelled documents, in hash order of the id; of near copies one stays."""
+    kind = F.when(F.coalesce("toxic", F.lit(0)) != 0, TOXIC).when(F.col("quality") == 1, TARGET).otherwise(POOR)
+    usable = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | (F.coalesce("toxic", F.lit(0)) != 0))).select(F.col(id_col).alias("id"), kind.alias("class"))
+    usable = usable.groupBy("id").agg(F.max("class").alias("class")).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(labelled)
+    usable = stash(usable, "labelled")
+    texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).join(F.broadcast(usable.select("id")), "id", "left_semi")
+    kept = stash(texts.mapInArrow(_prints, f"id {dict(texts.dtypes)['id']}, " + ", ".join(f"p{k} long" for k in range(PRINTS))), "prints")
+    for k in range(PRINTS):
+        others = [F.min_by(c, "id").alias(c) for c in kept.columns if c not in ("id", f"p{k}")]
+        kept = kept.groupBy(f"p{k}").agg(F.min("id").alias("id"), *others)
+    return stash(usable.join(kept.select("id").distinct(), "id"), "classes")
+
+
+def fit(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Model | None:
+    """The models: raw text counts all documents, a class its labelled ones, which are bounded by the caller."""
+    shares = np.zeros(3)
+    for r in classes.groupBy("class").count().collect():
+        shares[r["class"]] = r["count"]
+    if not shares[TARGET] or not shares[1:].any():
+        return None
+    texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).join(F.broadcast(classes), "id", "left").select("text", F.coalesce("class", F.lit(-1)).alias("class"))
+    total = 7 * KINDS * BUCKETS
+    width = min(total // CHUNK, shuffle_width(docs.sparkSession))
+    parts = texts.mapInArrow(_count, "chunk int, counts binary").repartition(width, "chunk").mapInArrow(_add, "chunk int, counts binary").collect()  # 7 * KINDS * BUCKETS numbers
+    counts = np.zeros((total // CHUNK, CHUNK))
     for r in parts:
         counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    counts = counts.reshape(4, BUCKETS)
-    raw, target = counts[:2], counts[2:]
-    expected = raw * (target.sum(1) / np.maximum(raw.sum(1), 1))[:, None]
-    ratio = lambda pull: np.log((target + pull) / (expected + pull))
-    return (ratio(PULL) + TAIL * np.minimum(ratio(TAIL_PULL) + TAIL_FROM, 0)).astype(np.float32)
+    counts = counts.reshape(7, KINDS, BUCKETS)
+    return Model(shares / shares.sum(), ratios(counts[0], counts[1:4], counts[4:]))
 
 
-def weigh(docs: DataFrame, model, id_col: str, text_col: str, seed: int) -> DataFrame:
-    """The rows of docs with log_weight and draw, a whole number in the order of the weight plus Gumbel noise.
+def weigh(docs: DataFrame, model, id_col: str, text_col: str, seed: int) -> tuple[DataFrame, str, str]:
+    """The rows of docs with their weight and draw, a whole number in the order of the weight plus Gumbel noise.
 
-    The noise is keyed by id and text, so reruns and retries agree.
+    The noise is keyed by id and text, so reruns and retries agree. Returns
+    the names of the two columns too: they are none of docs' own.
     """
     names, text_at = docs.columns, len(docs.columns)
-    keyed = docs.select("*", docs[text_col].alias("_text"), F.xxhash64(docs[id_col], docs[text_col], F.lit(seed)).alias("_noise"))
+    weight_col, draw_col, text, noise_col = unused(docs, "log_weight", "draw", "_text", "_noise")
+    own_text = docs[f"`{text_col}`"]
+    keyed = docs.select("*", own_text.alias(text), F.xxhash64(docs[f"`{id_col}`"], own_text, F.lit(seed)).alias(noise_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, ratios = WordHasher(HEAD), model.value
+        hasher = WordHasher(HEAD)
         for batch in batches:
             weight = np.zeros(batch.num_rows)
             for s in hasher.stretches(batch.column(text_at)):
-                each = ratios[0][_buckets(s.hashes)].astype(np.float64) + ratios[1][_buckets(s.heads)]
-                weight[s.first : s.first + len(s.counts)] = np.bincount(s.rows, each, len(s.counts))
+                weight[s.first : s.first + len(s.counts)] = model.value.weights(s)
             noise = mix64(batch.column(text_at + 1).to_numpy().view(np.uint64))
             uniform = ((noise >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-            bits = (weight - TEMPERATURE * np.log(-np.log(uniform))).view(np.int64)
+            bits = (weight - np.log(-np.log(uniform))).view(np.int64)
             draw = bits ^ ((bits >> 63) & np.int64(2**63 - 1))
-            columns = [*batch.columns[:text_at], pa.array(weight), pa.array(draw)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "log_weight", "draw"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], pa.array(weight), pa.array(draw)], [*names, weight_col, draw_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return keyed.mapInArrow(run, f"{schema}, log_weight double, draw long")
-
-
-def cutoff(weights: list[tuple[float, bool]]) -> float:
-    """The weight from which most labelled good rows are kept and most others are not: the largest sum of both shares."""
-    ordered = sorted(weights)
-    goods, others = sum(g for _, g in ordered), sum(not g for _, g in ordered)
-    best, at, good_below, other_below = (1.0, float("-inf")), 0, 0, 0
-    while at < len(ordered):
-        value = ordered[at][0]
-        sums = (goods - good_below) / max(goods, 1) + other_below / max(others, 1)
-        if other_below and sums > best[0]:
-            best = (sums, value)
-        while at < len(ordered) and ordered[at][0] == value:
-            good_below += ordered[at][1]
-            other_below += not ordered[at][1]
-            at += 1
-    return best[1]
+    return keyed.mapInArrow(run, f"{schema}, `{weight_col}` double, `{draw_col}` long"), weight_col, draw_col
 
 
 def kth_largest(draws: DataFrame, k: int) -> int:
@@ -139,28 +210,29 @@ def kth_largest(draws: DataFrame, k: int) -> int:
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = 50_000, seed: int = 6) -> tuple[DataFrame, int | None, object]:
     """Weigh all rows and find where Gumbel top-k ends.
 
-    Target text is that of labelled rows with quality 1 and toxic 0, from at
-    most so many labelled rows (a documented bound, in hash order of the id);
-    a fifth of the rows is held back to place the cutoff, and k is the number
-    of rows whose log weight reaches it. Repeated label rows count once each;
-    a label without a document has no effect. Without usable labels all rows
-    are kept.
+    The weight of a text is log(target / raw): the probability under the
+    n-gram model of the target, over that under the raw text's. Target text is
+    that of labelled rows with quality 1 and toxic 0. Raw text is a mixture of
+    what the labels tell apart, in their shares: target, toxic, poor; the
+    models are smoothed by one of all documents. At most so many labelled rows
+    are used (a documented bound, in hash order of the id), one of near
+    copies. k is the number of rows that are of the target with a chance of LEAST or more;
+    the noise is Gumbel's own, so rows below that edge come in as often as
+    their weight says, and push out as many. Repeated label rows count once,
+    as the worst of them; a label without a document has no effect. Without a
+    labelled row of the target and one of another class all rows are kept.
 
     Returns the weighed ids (id_col, log_weight, draw), the k-th largest draw
     (None: keep all) and the broadcast model. Rows that tie at it are all
-    kept. A null or empty text has weight 0.
+    kept. A null or empty text has the weight of a text without evidence. Other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    usable = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good")).where("good is not null")
-    usable = stash(usable.groupBy(id_col).agg(F.min("good").alias("good")).withColumn("fold", F.pmod(F.xxhash64(id_col), F.lit(5))).orderBy(F.xxhash64(id_col, F.lit(1)), id_col).limit(labelled), "labelled")
-    good = usable.where("good and fold > 0").select(id_col)
-    model = spark.sparkContext.broadcast(fit(docs, good, id_col, text_col))
-    weights = stash(weigh(docs.select(docs[id_col], docs[text_col]), model, id_col, text_col, seed).select(id_col, "log_weight", "draw"), "weights")
-    held = weights.join(F.broadcast(usable.where("fold = 0")), id_col).select("log_weight", "good").limit(10 * labelled).collect()
-    edge = cutoff([(r["log_weight"], r["good"]) for r in held])
-    k = weights.where(F.col("log_weight") >= edge).count()
-    return weights, (kth_largest(weights, k) if edge > float("-inf") and k else None), model
+    fitted = fit(docs, labelled_rows(docs, labels, id_col, text_col, labelled), id_col, text_col)
+    plain = docs.select(docs[f"`{id_col}`"].alias(id_col), docs[f"`{text_col}`"].alias(text_col))
+    model = spark.sparkContext.broadcast(fitted or Model(np.ones(1), np.zeros((0, KINDS, BUCKETS), np.float32)))
+    weights = stash(weigh(plain, model, id_col, text_col, seed)[0].select(id_col, "log_weight", "draw"), "weights")
+    k = weights.where(F.col("log_weight") >= fitted.edge).count() if fitted else 0
+    return weights, (kth_largest(weights, k) if k else None), model
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -170,6 +242,13 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
 
 def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 6, **options) -> DataFrame:
-    """The sampled rows of docs, whole; each row decides for itself, so nothing of them is shuffled."""
+    """The sampled rows of docs, whole, with docs' own columns; each row decides for itself, so nothing of them is shuffled.
+
+    Columns of any name are carried through. Null and empty texts, repeated
+    rows and empty tables are as in resample.
+    """
     _, least, model = resample(docs, labels, id_col, text_col, seed=seed, **options)
-    return docs if least is None else weigh(docs, model, id_col, text_col, seed).where(F.col("draw") >= least).drop("log_weight", "draw")
+    if least is None:
+        return docs
+    weighed, _, draw = weigh(docs, model, id_col, text_col, seed)
+    return weighed.where(F.col(f"`{draw}`") >= least).select(*[f"`{c}`" for c in docs.columns])
