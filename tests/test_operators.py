@@ -3,9 +3,9 @@ from functools import reduce
 import pytest
 
 from typedlake.operators import constraints, evolve, mutation, read, relation
-from typedlake.operators.mutation import Keys
+from typedlake.operators.mutation import Keys, Reference
 from typedlake.plans import BuildError, Delete, Insert, Select, Table, TrustedSQL, Update, or_
-from typedlake.sources import Workspace, load
+from typedlake.sources import Batch, Workspace, load
 
 ACCOUNTS = Table("accounts", [("id", "bigint"), ("manager_id", "bigint"), ("name", "string")])
 ORDERS = Table("orders", [("id", "bigint"), ("account_id", "bigint"), ("active", "boolean")])
@@ -171,3 +171,106 @@ def test_random_statements_match_a_dictionary(spark):
                 plain = {i: v for i, v in plain.items() if v != f"n{step - 1}"}
         frame = spark.createDataFrame(mutation.apply(frame, statement, KEYS).state.collect(), frame.schema)
         assert {r["id"]: r["name"] for r in frame.collect()} == plain
+
+
+def test_limits_beyond_32_bits(accounts, monkeypatch):
+    by_id = Select(ACCOUNTS).order_by(ACCOUNTS.id.asc())
+    assert read.fetch_all(accounts, by_id.offset(1 << 62)) == [] and len(read.fetch_all(accounts, by_id.offset(1).limit(3_000_000_000))) == 2
+    plan = read.select(accounts, by_id.limit(1 << 40))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalLimit" not in plan and "raise_error" in plan
+    monkeypatch.setattr(read, "MOST_ROWS", 1)  # as if the table had more rows than the limit has bits for
+    assert [r[0] for r in read.fetch_all(accounts, by_id.offset(1).limit(2))] == [2, 3]
+    for s in (by_id.limit(2), by_id.offset(2)):
+        with pytest.raises(Exception, match="beyond 32 bits"):
+            read.fetch_all(accounts, s)
+
+
+def test_related_by_a_column_of_the_same_name(orders):
+    got = relation.related(orders, orders.where("id = 12").select("account_id"), Select(ORDERS), "account_id")
+    assert rows(got, "id") == [(10, 1, True), (11, 1, True), (12, 1, False)]
+
+
+def _greedy(old, incoming, keys):
+    """What a row at a time inserts: plain Python."""
+    held = [{tuple(r[c] for c in k) for r in old if None not in [r[c] for c in k]} for k in keys]
+    out = []
+    for r in incoming:
+        own = [tuple(r[c] for c in k) for k in keys]
+        if not any(None not in o and o in h for o, h in zip(own, held)):
+            out.append(r)
+            for o, h in zip(own, held):
+                h.add(o)
+    return out
+
+
+def test_do_nothing_with_several_keys(spark):
+    import random
+
+    table = Table("pairs", [("a", "bigint"), ("b", "bigint")])
+    cases = [([(100, 7)], [(1, 7), (1, 8)]), ([], [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3), (None, 3), (None, 3), (4, None), (4, None)])]
+    rng = random.Random(6)
+    pick = lambda: rng.choice([None, *range(6)])
+    cases += [([(rng.randrange(6), rng.randrange(6, 9))], [(pick(), pick()) for _ in range(12)]) for _ in range(2)]
+    for old, new in cases:
+        statement = reduce(lambda s, r: s.row(table["a"].set(r[0]), table["b"].set(r[1])), new, Insert(table)).on_any_conflict().do_nothing()
+        done = mutation.insert(spark.createDataFrame(old, "a long, b long"), statement, Keys((("a",), ("b",))))
+        assert [tuple(r)[:2] for r in done.returning.orderBy("_place").collect()] == _greedy(old, new, [(0,), (1,)])
+
+
+def test_writes_keep_the_rules(accounts, orders):
+    rules = Keys((("id",), ("name",)), {}, ("id",), {"small": "id < 100"}, (Reference(("manager_id",), "accounts", ("id",)),))
+    base = Insert(ACCOUNTS)
+    row = lambda i, m, n: base.row(ACCOUNTS.id.set(i), ACCOUNTS.manager_id.set(m), ACCOUNTS["name"].set(n))
+    clean = accounts.where("id < 3")
+    space = Workspace({"accounts": clean}, {"accounts": rules})
+    good = space.batch(row(4, 1, "d"), row(5, 5, "e"), row(6, None, None), row(7, None, None))
+    assert good.frames["accounts"].count() == 6
+    for bad, why in ((row(1, None, "x"), "taken"), (row(8, None, "a"), "taken"), (row(None, None, "x"), "no null"), (row(100, None, "x"), "small"), (row(9, 77, "x"), "no target"), (row(9, None, "y").row(ACCOUNTS.id.set(9), ACCOUNTS.manager_id.set(None), ACCOUNTS["name"].set("z")), "twice")):
+        with pytest.raises(Exception, match=why):
+            space.run(bad)[0].frames["accounts"].collect()
+    for bad, why in ((ACCOUNTS["name"].set("a"), "twice|taken"), (ACCOUNTS.id.set(None), "no null"), (ACCOUNTS.id.set_sql(TrustedSQL("id + 99")), "small"), (ACCOUNTS.manager_id.set(55), "no target")):
+        with pytest.raises(Exception, match=why):
+            space.run(Update(ACCOUNTS).set(bad).where(ACCOUNTS.id.eq(2)))[0].frames["accounts"].collect()
+    upsert = row(2, None, "a").on_conflict(ACCOUNTS.id).do_update(ACCOUNTS["name"].excluded())
+    with pytest.raises(Exception, match="taken"):
+        space.run(upsert)[0].frames["accounts"].collect()
+    with pytest.raises(Exception, match="refer"):
+        Workspace({"accounts": clean, "orders": orders}, {"orders": Keys(foreign=(Reference(("account_id",), "accounts", ("id",)),))}).run(Delete(ACCOUNTS).all_rows())[0].frames["accounts"].collect()
+
+
+def test_references_act_and_wait(accounts, orders):
+    def space(**how):
+        return Workspace({"accounts": accounts.where("id < 3"), "orders": orders}, {"orders": Keys(foreign=(Reference(("account_id",), "accounts", ("id",), **how),))})
+
+    gone, moved = Delete(ACCOUNTS).where(ACCOUNTS.id.eq(1)), Update(ACCOUNTS).set(ACCOUNTS.id.set(9)).where(ACCOUNTS.id.eq(1))
+    ids = lambda s: sorted((r["id"], r["account_id"]) for r in s.frames["orders"].collect())
+    assert ids(space(on_delete="cascade").batch(gone)) == [(20, 2), (30, None)]
+    assert ids(space(on_delete="set null").batch(gone)) == [(10, None), (11, None), (12, None), (20, 2), (30, None)]
+    assert ids(space(on_update="cascade").batch(moved)) == [(10, 9), (11, 9), (12, 9), (20, 2), (30, None)]
+    with pytest.raises(Exception, match="changed key"):
+        space().run(moved)[0].frames["accounts"].collect()
+    late = space(deferred=True)
+    back = Insert(ACCOUNTS).row(ACCOUNTS.id.set(1), ACCOUNTS["name"].set("again"))
+    assert len(ids(late.batch(gone, back))) == 5
+    with pytest.raises(Exception, match="end of the batch"):
+        ids(late.batch(gone))
+
+
+def test_batches_count_and_take_raw_text(accounts):
+    batch = Batch().queue(Update(ACCOUNTS).set(ACCOUNTS["name"].set("z")).where(ACCOUNTS.id.eq(1))).queue_raw("accounts", TrustedSQL("SELECT id, manager_id, upper(name) AS name FROM {accounts} WHERE id < :top"), top=3)
+    assert len(batch) == 2 and len(Batch()) == 0
+    assert rows(Workspace({"accounts": accounts}).batch(batch).frames["accounts"], "id") == [(1, None, "Z"), (2, 1, "B")]
+    with pytest.raises(BuildError):
+        Batch().queue_raw("accounts", "SELECT 1")
+    with pytest.raises(BuildError):
+        Batch().queue(Delete(ACCOUNTS).all_rows().returning())
+    same = Workspace({"accounts": accounts})
+    assert same.transaction(lambda w: Workspace(dict(w.frames)), read_only=True).frames == same.frames
+
+
+def test_bulk_upsert_is_one_join(accounts, spark):
+    incoming = spark.createDataFrame([(2, 7, "B", 0), (5, None, "E", 1), (None, 1, "N", 2)], "id long, manager_id long, name string, _place long")
+    statement = Insert(ACCOUNTS).on_conflict(ACCOUNTS.id).do_update(ACCOUNTS["name"].set_sql(TrustedSQL("t.name || EXCLUDED.name")))
+    after, done = Workspace({"accounts": accounts}, {"accounts": KEYS}).run(statement, incoming)
+    assert {tuple(r) for r in after.frames["accounts"].collect()} == {(1, None, "a"), (2, 1, "bB"), (3, 999, None), (5, None, "E"), (None, 1, "N")}
+    assert [r["id"] for r in done.returning.orderBy("_place").collect()] == [2, 5, None]

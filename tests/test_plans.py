@@ -5,7 +5,7 @@ from typedlake.plans.text import render
 
 USERS = Table("users", [("id", "bigint", INSERT_ONLY), ("email", "string"), ("active", "boolean"), ("search", "string", READ_ONLY)])
 OTHER = Table("users", [("id", "bigint")])
-ATTACKS = ["x' OR TRUE --", "$1; DROP TABLE users; --", '"; --', "a\nb", "🙂", "", "\\"]
+ATTACKS = ["it's ); SELECT 'more", "$2", "/* half a comment", 'a "quoted" name', "line\r\nbreak", "\u202eright to left", "", "\\x27"]
 
 
 def test_select_text():
@@ -38,7 +38,7 @@ def test_update_and_delete_text():
 def test_values_never_reach_the_text(value):
     for out in (render(Select(USERS).where(USERS.email.eq(value))), render(Update(USERS).set(USERS.email.set(value)).all_rows())):
         assert out.args == (value,)
-        assert "DROP" not in out.sql and "🙂" not in out.sql
+        assert not value or value not in out.sql
 
 
 @pytest.mark.parametrize(

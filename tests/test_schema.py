@@ -153,3 +153,99 @@ def test_plan_on_frames(spark):
         apply_plan(spark, frames, diff(before, clash))
     moved = apply_plan(spark, frames, diff_with_renames(before, Schema((dataclasses.replace(USERS, name="people"),)), [Rename("table", "users", "people")]))
     assert list(moved) == ["people"]
+
+
+def test_plans_are_undone_in_reverse(spark):
+    frames = {"users": spark.createDataFrame([(1, "abcd", "n")], "id long, email string, note string"), "orders": spark.createDataFrame([(1, 1)], "id long, user_id long")}
+    plain = Schema((TableDef("users", (ID, ColumnDef("email", "text", nullable=True), ColumnDef("note", "text", nullable=True))), TableDef("orders", (ID, ColumnDef("user_id", "bigint", nullable=True)))))
+    from typedlake.schema.rename import renamed
+
+    renames = [Rename("table", "users", "accounts"), Rename("column", "email", "mail", "accounts"), Rename("column", "mail", "address", "accounts"), Rename("column", "note", "email", "accounts"), Rename("table", "orders", "bills"), Rename("column", "user_id", "account_id", "bills"), Rename("table", "bills", "invoices")]
+    after = plain
+    for r in renames:
+        after = renamed(after, r)
+    plan = diff_with_renames(plain, after, renames)
+    there = apply_plan(spark, frames, plan)
+    assert {n: d.columns for n, d in there.items()} == {"accounts": ["id", "address", "email"], "invoices": ["id", "account_id"]}
+    back = apply_plan(spark, there, plan, reverse=True)
+    assert {n: d.columns for n, d in back.items()} == {n: d.columns for n, d in frames.items()}
+    assert back["users"].collect() == frames["users"].collect()
+
+
+def test_narrowing_is_checked(spark):
+    frames = {"t": spark.createDataFrame([(1, "abcdef"), (2, None)], "id long, word string")}
+    of = lambda kind: Schema((TableDef("t", (ID, ColumnDef("word", kind, nullable=True))),), (EnumType("mood", ("abcdef", "sad")), EnumType("other", ("x",))))
+    enums = of("text").enums
+    assert apply_plan(spark, frames, diff(of("text"), of("varchar(6)")))["t"].count() == 2
+    assert apply_plan(spark, frames, diff(of("text"), of("mood")), enums=enums)["t"].count() == 2
+    for kind in ("varchar(5)", "other"):
+        with pytest.raises(SchemaError):
+            apply_plan(spark, frames, diff(of("text"), of(kind)), enums=enums)
+
+
+def test_plans_are_validated():
+    from typedlake.schema import Operation, Plan
+
+    good = diff(Schema(), BASE)
+    assert good.validate() is good
+    for bad in (Operation("explode", "t", "x"), Operation("add_column", None, "x", None, ID), Operation("add_column", "t", "x", None, None), Operation("drop_column", "t", "x", None, ID), Operation("alter_column", "t", "x", ID, ColumnDef("y", "text")), Operation("add_column", "t", "x", None, ID, "wild")):
+        with pytest.raises(SchemaError):
+            Plan((bad,)).validate()
+
+
+def test_all_reasons_are_given():
+    after = changed("users", columns=(*USERS.columns, ColumnDef("code", "text", unique=True)))
+    (operation,) = (o for o in diff(BASE, after).operations if o.kind == "add_column")
+    assert "unique" in operation.reason and "no value" in operation.reason
+
+
+def test_facade_and_fields_of_entities():
+    import typedlake.schema as facade
+
+    @dataclasses.dataclass
+    class Person:
+        ID: int = dataclasses.field(metadata={"sql": "primaryKey"})
+        FirstName: str = dataclasses.field(metadata={"sql": "column:given_name"})
+
+        @staticmethod
+        def configure(table):
+            return dataclasses.replace(table, uniques=(Unique("one_name", ("FirstName",)),), indexes=(Index("by_name", (" FirstName", "id")),))
+
+    @dataclasses.dataclass
+    class Wrong:
+        ID: int
+
+        @staticmethod
+        def configure(table):
+            return dataclasses.replace(table, uniques=(Unique("u", ("Nobody",)),))
+
+    @dataclasses.dataclass
+    class Failing:
+        ID: int
+
+        @staticmethod
+        def configure(table):
+            raise KeyError("x")
+
+    for entity in (Person, Wrong, Failing):
+        entity.__annotations__ = {k: {"int": int, "str": str}.get(v, v) for k, v in entity.__annotations__.items()}
+    shot = facade.snapshot_of(Person)
+    assert shot.schema.tables[0].uniques[0].columns == ("given_name",) and shot.schema.tables[0].indexes[0].columns == ("given_name", "id")
+    assert 'CREATE TABLE "person"' in facade.schema_text(Person)
+    plan, up, down = facade.migration_of(facade.Snapshot(), Person)
+    assert plan.operations and "CREATE TABLE" in up and "DROP TABLE" in down and not facade.migration_of(shot, Person)[0].operations
+    for entity in (Wrong, Failing):
+        with pytest.raises(SchemaError):
+            facade.snapshot_of(entity)
+
+
+def test_a_failed_write_leaves_nothing(tmp_path, monkeypatch):
+    made = artifacts.Artifact("20260102030405_x", "a", "b", Snapshot(BASE), "safe")
+
+    def full(*_):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(artifacts.os, "rename", full)
+    with pytest.raises(OSError):
+        artifacts.write(str(tmp_path), made)
+    assert list(tmp_path.iterdir()) == []

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import constraints, evolve, mutation, read, relation
+from .operators.mutation import Keys, Reference
 from .plans import Delete, Insert, Select, Table, TrustedSQL, Update, and_, not_, or_, trusted
-from .sources import Workspace
+from .schema import ColumnDef, Rename, Schema, TableDef, diff_with_renames
+from .schema.apply import apply_plan
+from .sources import Batch, Workspace
 
 REGION = Table("region", [("r_regionkey", "int"), ("r_name", "string")])
 NATION = Table("nation", [("n_nationkey", "int"), ("n_name", "string"), ("n_regionkey", "int")])
@@ -92,6 +95,7 @@ _selected(
     Select(O).distinct().where(and_(O.o_orderstatus.in_("F", "O"), O.o_totalprice.gt(1000.0))).order_by(O.o_orderkey.desc(), O.o_custkey.asc()).limit(20).offset(40),
 )
 _selected("sel_big_limit", "SELECT * FROM nation", _from("nation"), Select(NATION).limit(1 << 40))
+_selected("sel_past_end", "SELECT * FROM nation OFFSET 4611686018427387904", _from("nation"), Select(NATION).order_by(NATION.n_nationkey.asc()).offset(1 << 62))
 _selected("fetch_one", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 1", _from("orders"), Select(O).order_by(O.o_orderkey.asc()).limit(1))
 _selected("fetch_optional_none", "SELECT * FROM orders WHERE o_orderkey < 0 LIMIT 1", _from("orders"), Select(O).where(O.o_orderkey.lt(0)).limit(1))
 
@@ -107,9 +111,9 @@ def rel_many(spark, sf_dir):
 @_query("""
     SELECT c_custkey, o_orderkey, o_totalprice,
            CAST(CASE WHEN o_orderkey IS NOT NULL THEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey) END AS INTEGER) AS ordinal
-    FROM (SELECT * FROM customer WHERE c_custkey < 300) c LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON o_custkey = c_custkey""")
+    FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') o ON o_custkey = c_custkey""")
 def rel_many_filtered_desc(spark, sf_dir):
-    sources = read.select(_rows(spark, sf_dir, "customer"), Select(C).where(C.c_custkey.lt(300)))
+    sources = _rows(spark, sf_dir, "customer")
     base = Select(O).where(O.o_orderstatus.eq("F")).order_by(O.o_totalprice.desc(), O.o_orderkey.asc())
     return relation.joined_many("orders", sources, _rows(spark, sf_dir, "orders"), base, ["c_custkey"], ["o_custkey"], "ordinal").select("c_custkey", "o_orderkey", "o_totalprice", "ordinal")
 
@@ -132,10 +136,10 @@ def rel_one_duplicates(spark, sf_dir):
     return relation.repeated_targets(_rows(spark, sf_dir, "customer"), _rows(spark, sf_dir, "orders"), Select(O), ["c_custkey"], ["o_custkey"])
 
 
-@_query("SELECT a.conv_id, a.turn, b.role, b.text FROM (SELECT * FROM conversations WHERE conv_id < 20) a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
+@_query("SELECT a.conv_id, a.turn, b.role, b.text FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
 def rel_composite(spark, sf_dir):
     said = _rows(spark, sf_dir, "conversations")
-    sources = read.select(said, Select(CONVERSATIONS).where(CONVERSATIONS.conv_id.lt(20))).select("conv_id", "turn", (F.col("turn") + 1).alias("next"))
+    sources = said.select("conv_id", "turn", (F.col("turn") + 1).alias("next"))
     one = relation.load_one("next turn", sources, said, Select(CONVERSATIONS), ["conv_id", "next"], ["conv_id", "turn"])
     return one.select("conv_id", "turn", "role", "text")
 
@@ -146,6 +150,12 @@ def rel_semi(spark, sf_dir):
     return relation.related(_rows(spark, sf_dir, "orders"), keys, Select(O), "o_custkey")
 
 
+@_query("SELECT * FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def rel_semi_same_name(spark, sf_dir):
+    orders = _rows(spark, sf_dir, "orders")
+    return relation.related(orders, orders.where("o_orderstatus = 'P'").select("o_custkey"), Select(O), "o_custkey")
+
+
 # Mutations.
 S = SUPPLIER
 _NEW = Insert(S).row(S.s_suppkey.set(900001), S.s_name.set("new one"), S.s_nationkey.set(3), S.s_acctbal.set(10.5)).row(S.s_suppkey.set(900002), S.s_name.set("new two"), S.s_nationkey.set(None), S.s_acctbal.set(-1.0))
@@ -195,6 +205,48 @@ def ups_dedupe_first(spark, sf_dir):
     return mutation.insert(old, statement, incoming=incoming).returning.select("s_suppkey", "first_order")
 
 
+def _supplier(key: int, name: str) -> list:
+    return [S.s_suppkey.set(key), S.s_name.set(name), S.s_nationkey.set(1), S.s_acctbal.set(0.0)]
+
+
+@_query("SELECT * FROM supplier UNION ALL SELECT 900001, 'n1', 1, 0.0 UNION ALL SELECT 900003, 'n2', 1, 0.0")
+def ups_any_two_keys(spark, sf_dir):
+    statement = Insert(S)
+    for key, name in ((1, "n1"), (900001, "n1"), (900002, "n1"), (900001, "n2"), (900003, "n2")):
+        statement = statement.row(*_supplier(key, name))
+    return mutation.insert(_rows(spark, sf_dir, "supplier"), statement.on_any_conflict().do_nothing(), Keys((("s_suppkey",), ("s_name",)))).state
+
+
+_BILLS_SQL = "(SELECT c_custkey + CASE WHEN c_mktsegment = 'BUILDING' THEN 10000000 ELSE 0 END AS c_custkey, c_name || '!' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))"
+
+
+@_query(f"""
+    SELECT coalesce(i.c_custkey, t.c_custkey) AS c_custkey, coalesce(i.c_name, t.c_name) AS c_name, coalesce(t.c_nationkey, 0)::INTEGER AS c_nationkey,
+           coalesce(i.c_acctbal, t.c_acctbal) AS c_acctbal, coalesce(t.c_mktsegment, 'NEW') AS c_mktsegment
+    FROM customer t FULL JOIN {_BILLS_SQL} i ON i.c_custkey = t.c_custkey""")
+def ups_bulk_state(spark, sf_dir):
+    old = _rows(spark, sf_dir, "customer")
+    moved = F.col("c_custkey") + F.when(F.col("c_mktsegment") == "BUILDING", 10_000_000).otherwise(0)
+    bills = old.where("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(moved.alias("c_custkey"), F.concat("c_name", F.lit("!")).alias("c_name"), F.lit(0).alias("c_nationkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"), F.col("c_custkey").alias("_place"))
+    statement = Insert(C).on_conflict(C.c_custkey).do_update(C.c_name.excluded(), C.c_acctbal.excluded())
+    after, _ = Workspace({"customer": old}, {"customer": Keys((("c_custkey",),))}).run(statement, bills)
+    return after.frames["customer"]
+
+
+@_query("SELECT s_suppkey FROM supplier WHERE s_suppkey IN (1, 2, 900001)")
+def ins_duplicate_rejected(spark, sf_dir):
+    statement = Insert(S).row(*_supplier(1, "a")).row(*_supplier(2, "b")).row(*_supplier(900001, "c"))
+    old = _rows(spark, sf_dir, "supplier")
+    return constraints.taken(mutation.insert(old, statement).returning, old, ["s_suppkey"])
+
+
+@_query("SELECT n.* FROM (SELECT 900001::BIGINT AS s_suppkey, 'a' AS s_name, 77::INTEGER AS s_nationkey, 0.0::DOUBLE AS s_acctbal UNION ALL SELECT 900002, 'b', 3, 0.0) n WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation)")
+def fk_insert_orphan(spark, sf_dir):
+    statement = Insert(S).row(S.s_suppkey.set(900001), S.s_name.set("a"), S.s_nationkey.set(77), S.s_acctbal.set(0.0)).row(S.s_suppkey.set(900002), S.s_name.set("b"), S.s_nationkey.set(3), S.s_acctbal.set(0.0))
+    new = mutation.insert(_rows(spark, sf_dir, "supplier"), statement).returning.select(*S.names)
+    return constraints.orphans(new, _rows(spark, sf_dir, "nation"), ["s_nationkey"], ["n_nationkey"])
+
+
 _DEBT = Update(C).set(C.c_mktsegment.set("DEBT"), C.c_name.set_sql(TrustedSQL("upper(c_name)"))).where(C.c_acctbal.lt(0.0))
 
 
@@ -229,6 +281,23 @@ def batch_state(spark, sf_dir):
     return done.frames["supplier"]
 
 
+@_query("""
+    SELECT s_suppkey, upper(s_name) AS s_name, s_nationkey, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal END AS s_acctbal
+    FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <= 2)""")
+def batch_raw_state(spark, sf_dir):
+    text = TrustedSQL("SELECT s_suppkey, upper(s_name) AS s_name, s_nationkey, s_acctbal FROM {supplier} WHERE s_nationkey IN (SELECT n_nationkey FROM {nation} WHERE n_regionkey <= :region)")
+    batch = Batch().queue(Update(S).set(S.s_acctbal.set(0.0)).where(S.s_acctbal.lt(0.0))).queue_raw("supplier", text, region=2)
+    tables = {n: _rows(spark, sf_dir, n) for n in ("supplier", "nation")}
+    return Workspace(tables).batch(batch).frames["supplier"]
+
+
+@_query("SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def batch_cascade_state(spark, sf_dir):
+    refers = Reference(("o_custkey",), "customer", ("c_custkey",), on_delete="cascade")
+    tables = Workspace({n: _rows(spark, sf_dir, n) for n in ("customer", "orders")}, {"orders": Keys((), foreign=(refers,))})
+    return tables.batch(Delete(C).where(C.c_acctbal.lt(0.0))).frames["orders"]
+
+
 # Constraints and referential actions.
 @_query("SELECT * FROM customer WHERE NOT (c_acctbal >= 0)")
 def chk_violations(spark, sf_dir):
@@ -254,9 +323,9 @@ def uq_partial_violations(spark, sf_dir):
     return constraints.unique_violations(_rows(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus = 'F'")
 
 
-@_query("SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey < 14000)")
+@_query("SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def fk_orphans(spark, sf_dir):
-    return constraints.orphans(_rows(spark, sf_dir, "lineitem"), _rows(spark, sf_dir, "orders").where("o_orderkey < 14000"), ["l_orderkey"], ["o_orderkey"])
+    return constraints.orphans(_rows(spark, sf_dir, "lineitem"), _rows(spark, sf_dir, "orders").where("o_orderstatus <> 'P'"), ["l_orderkey"], ["o_orderkey"])
 
 
 def _debtors(spark, sf_dir):
@@ -319,6 +388,27 @@ def add_default(spark, sf_dir):
     return evolve.add_column(_rows(spark, sf_dir, "customer"), "state", "string", default="'pending'", nullable=False)
 
 
+def _reshaped(spark, sf_dir, undone: bool):
+    """The customers after a plan of renames, a new, a wider and a dropped column, or after it is undone."""
+    column = lambda n, t, **o: ColumnDef(n, t, nullable=True, **o)
+    kept = (column("c_custkey", "bigint"), column("c_name", "text"), column("c_nationkey", "integer"), column("c_acctbal", "double precision"), column("c_mktsegment", "text"))
+    before = Schema((TableDef("customer", kept),))
+    after = Schema((TableDef("client", (kept[0], column("full_name", "text"), column("c_nationkey", "bigint"), kept[3], column("state", "text", default="'open'"))),))
+    plan = diff_with_renames(before, after, [Rename("table", "customer", "client"), Rename("column", "c_name", "full_name", "client")])
+    out = apply_plan(spark, {"customer": _rows(spark, sf_dir, "customer")}, plan)
+    return apply_plan(spark, out, plan, reverse=True)["customer"] if undone else out["client"]
+
+
+@_query("SELECT c_custkey, c_name AS full_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, 'open' AS state FROM customer")
+def plan_state(spark, sf_dir):
+    return _reshaped(spark, sf_dir, False)
+
+
+@_query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, CAST(NULL AS VARCHAR) AS c_mktsegment FROM customer")
+def plan_undone(spark, sf_dir):
+    return _reshaped(spark, sf_dir, True)
+
+
 @_query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_extract(spark, sf_dir):
     return _rows(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))

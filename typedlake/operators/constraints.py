@@ -15,6 +15,23 @@ def _whole(columns: Sequence[str]):
     return reduce(lambda a, b: a & b, [named(c).isNotNull() for c in columns])
 
 
+def refused(state: DataFrame, bad: DataFrame, message: str) -> DataFrame:
+    """The rows of state, in a query that fails where bad has a row. Nothing runs before the result is asked for.
+
+    Bad rows are counted first: a condition on the rows themselves would be moved below the join that finds them.
+    """
+    count = bad.agg(F.count(F.lit(1)).alias("_bad"))
+    stop = count.where(F.when(F.col("_bad") > 0, F.raise_error(F.lit(message)).cast("boolean")))
+    none = stop.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema.fields])
+    return none.unionByName(state)
+
+
+def taken(rows: DataFrame, others: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Keys of rows that others have too, each once; small rows are sent to the others, which stay where they are."""
+    wanted = rows.where(_whole(columns)).select(*[named(c).alias(f"_t{i}") for i, c in enumerate(columns)])
+    return others.join(wanted, [named(c) == F.col(f"_t{i}") for i, c in enumerate(columns)], "left_semi").select(*[named(c) for c in columns]).distinct()
+
+
 def check_violations(df: DataFrame, check: str) -> DataFrame:
     """Rows for which the check is false; unknown passes."""
     return df.where(~F.coalesce(F.expr(check), F.lit(True)))

@@ -64,8 +64,9 @@ def select(df: DataFrame, s: Select) -> DataFrame:
     """The SELECT over the table's rows: filter, all columns, distinct, order, offset, limit.
 
     Locks are checked when built and have no effect: a DataFrame reads one
-    snapshot. A limit or offset beyond 32 bits is taken as that many times the
-    largest that Spark has.
+    snapshot. Spark's limits have 32 bits: a larger LIMIT returns every row of
+    a table that has no more, a larger OFFSET none of a table that has no more;
+    on a table that has more either fails the query, and never cuts in silence.
     """
     s.checked()
     if s.condition:
@@ -73,12 +74,25 @@ def select(df: DataFrame, s: Select) -> DataFrame:
     df = df.select(*[named(n) for n in s.table.names])
     if s.is_distinct:
         df = df.distinct()
+    skip, count = s.skip or 0, s.count
+    if skip > MOST_ROWS:
+        return _where_or_fail(df, _total(df) <= skip, False, "an OFFSET beyond 32 bits on a table with more rows")
+    if count is not None and count > MOST_ROWS:
+        df, count = _where_or_fail(df, _total(df) - skip <= count, True, "a LIMIT beyond 32 bits on a table with more rows"), None
     if s.orders:
         df = df.orderBy(*[ordering(o) for o in s.orders])
-    skip = s.skip or 0
-    while skip:
-        df, skip = df.offset(min(skip, MOST_ROWS)), max(0, skip - MOST_ROWS)
-    return df if s.count is None else df.limit(min(s.count, MOST_ROWS))
+    if skip:
+        df = df.offset(skip)
+    return df if count is None else df.limit(count)
+
+
+def _total(df: DataFrame) -> SparkColumn:
+    return df.agg(F.count(F.lit(1))).scalar()
+
+
+def _where_or_fail(df: DataFrame, holds: SparkColumn, keep: bool, message: str) -> DataFrame:
+    """All rows or none where the condition holds, and a failing query where it does not."""
+    return df.where(F.when(holds, F.lit(keep)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
 class NoRows(LookupError):

@@ -46,8 +46,8 @@ def related(targets: DataFrame, keys: DataFrame, base: Select, column: str) -> D
     """The base SELECT over target rows whose column is among the keys: a semi join, not a list of literals."""
     if base.count is not None or base.skip is not None:
         raise BuildError("a limit or offset would cut targets of other sources")
-    own = keys.select(keys.columns[0]).where(F.col(keys.columns[0]).isNotNull()).distinct()
-    kept = targets.join(own, named(column) == own[keys.columns[0]], "left_semi")
+    own = keys.select(named(keys.columns[0]).alias("_k0")).where("_k0 IS NOT NULL").distinct()
+    kept = targets.join(own, named(column) == F.col("_k0"), "left_semi")
     return select(kept, base)
 
 
@@ -80,6 +80,7 @@ def joined_many(name: str, sources: DataFrame, targets: DataFrame, base: Select,
     if ordinal:
         if not base.orders:
             raise RelationError(f"relation {name}: an ordinal needs an order")
+        rows = _wanted(sources, targets, base, source, target)  # only keys that are asked for are numbered
         rows = rows.withColumn(ordinal, F.row_number().over(Window.partitionBy(*[named(t) for t in target]).orderBy(*[ordering(o) for o in base.orders])))
     return sources.join(rows, [sources[s] == rows[t] for s, t in zip(source, target, strict=True)], "left")
 

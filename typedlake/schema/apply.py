@@ -6,6 +6,7 @@ import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import constraints, evolve
 from .diff import BUCKETS, Plan
@@ -27,6 +28,15 @@ def spark_type(sql: str) -> str:
     return SPARK_TYPES.get(sql, "string")
 
 
+def _narrowed(df: DataFrame, c: ColumnDef, enums: Mapping[str, EnumType]) -> None:
+    """Check what a Spark type alone doesn't: the length of varchar(n) and char(n), and the labels of an enum."""
+    name = c.type.strip().strip('"')
+    if m := re.fullmatch(r"(?:varchar|char)\((\d+)\)", name.lower()):
+        _fails(df.where(F.length(F.col(f"`{c.name}`").cast("string")) > int(m[1])), f"the length of column {c.name}")
+    elif name in enums:
+        _fails(df.where(~F.col(f"`{c.name}`").cast("string").isin(*enums[name].labels)), f"enum {name} in column {c.name}")
+
+
 def empty_table(spark: SparkSession, t: TableDef) -> DataFrame:
     return spark.createDataFrame([], ", ".join(f"`{c.name}` {spark_type(c.type)}" for c in t.columns))
 
@@ -43,14 +53,17 @@ def _with_column(df: DataFrame, c: ColumnDef) -> DataFrame:
     return out
 
 
-def apply_plan(spark: SparkSession, frames: Mapping[str, DataFrame], plan: Plan, reverse: bool = False) -> dict[str, DataFrame]:
-    """The tables after the plan, or after undoing it. Constraints are checked as they are added; frames stay as they were.
+def apply_plan(spark: SparkSession, frames: Mapping[str, DataFrame], plan: Plan, reverse: bool = False, enums: tuple[EnumType, ...] = ()) -> dict[str, DataFrame]:
+    """The tables after the plan, or after undoing it in exactly the reverse order.
 
-    Undoing the drop of a column or a table brings it back without its values.
+    Constraints are checked as they are added, and so are lengths and labels
+    where a column's type changes; frames stay as they were. enums: those that
+    are there already. Undoing the drop of a column or a table brings it back without its values.
     """
     out = dict(frames)
-    operations = sorted(plan.operations, key=lambda o: BUCKETS[o.kind], reverse=reverse)
-    for o in operations:
+    operations = sorted(plan.validate().operations, key=lambda o: BUCKETS[o.kind])
+    known = {e.name: e for e in (*enums, *(x for o in operations for x in (o.before, o.after) if isinstance(x, EnumType)))}
+    for o in reversed(operations) if reverse else operations:
         before, after = (o.after, o.before) if reverse else (o.before, o.after)
         if o.kind == "rename_object":
             r = before
@@ -65,6 +78,7 @@ def apply_plan(spark: SparkSession, frames: Mapping[str, DataFrame], plan: Plan,
                 out[after.name] = empty_table(spark, after)
         elif o.kind == "alter_column":
             if before.type != after.type:
+                _narrowed(out[o.table], after, known)
                 out[o.table] = evolve.alter_type(out[o.table], after.name, spark_type(after.type))
             if before.nullable and not after.nullable:
                 _fails(out[o.table].where(f"`{after.name}` IS NULL"), f"NOT NULL of column {after.name}")

@@ -7,6 +7,7 @@ import hashlib
 import json
 import os
 import re
+import shutil
 import tempfile
 from dataclasses import dataclass
 from pathlib import Path
@@ -74,9 +75,21 @@ def write(root: str, artifact: Artifact) -> Path:
     if target.exists():
         raise SchemaError("the migration is there already")
     part = Path(tempfile.mkdtemp(prefix=".", dir=base))
-    for name, text in {**artifact.files, "manifest.json": artifact.manifest}.items():
-        (part / name).write_text(text, encoding="utf-8", newline="\n")
-    os.rename(part, target)
+    try:
+        for name, text in {**artifact.files, "manifest.json": artifact.manifest}.items():
+            with open(part / name, "w", encoding="utf-8", newline="\n") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+        os.rename(part, target)
+    except BaseException:
+        shutil.rmtree(part, ignore_errors=True)
+        raise
+    held = os.open(base, os.O_RDONLY)
+    try:
+        os.fsync(held)
+    finally:
+        os.close(held)
     return target
 
 

@@ -15,6 +15,12 @@ SAFE, REVIEW, DESTRUCTIVE = RISKS = ("safe", "review", "destructive")
 ORDER = ("create_extension", "rename_object", "create_enum", "drop_foreign_key", "drop_index drop_unique drop_check", "drop_table", "create_table", "add_column", "alter_column", "drop_column", "create_index add_unique add_check", "add_foreign_key", "drop_enum")
 BUCKETS = {kind: n for n, kinds in enumerate(ORDER) for kind in kinds.split()}
 
+_THINGS = {"extension": "str", "enum": "EnumType", "table": "TableDef", "column": "ColumnDef", "foreign_key": "ForeignKey", "index": "Index", "unique": "Unique", "check": "Check"}
+#: What stands before and after an operation of each kind, and the kinds that are of no table.
+FORMS = {k: (None, _THINGS[k.split("_", 1)[1]]) if k.split("_")[0] in ("create", "add") else (_THINGS[k.split("_", 1)[1]], None) for k in BUCKETS if k not in ("rename_object", "alter_column")}
+FORMS |= {"rename_object": ("Rename", "Rename"), "alter_column": ("ColumnDef", "ColumnDef")}
+TABLELESS = ("create_extension", "rename_object", "create_enum", "drop_enum")
+
 
 @dataclass(frozen=True)
 class Operation:
@@ -41,6 +47,24 @@ class Plan:
     def warnings(self) -> list[str]:
         return [f"{o.risk} {o.kind}: {o.reason}" for o in self.operations if o.risk != SAFE]
 
+    def validate(self) -> Plan:
+        """This plan, or a SchemaError for the first operation that nobody could carry out."""
+        for n, o in enumerate(self.operations):
+            if o.kind not in FORMS:
+                raise SchemaError(f"operation {n} is of an unknown kind")
+            if o.risk not in RISKS:
+                raise SchemaError(f"operation {n} ({o.kind}) has an unknown risk")
+            if o.kind not in TABLELESS and not (o.table or "").strip():
+                raise SchemaError(f"operation {n} ({o.kind}) needs a table")
+            if tuple(None if x is None else type(x).__name__ for x in (o.before, o.after)) != FORMS[o.kind]:
+                raise SchemaError(f"operation {n} ({o.kind}) lacks what it changes")
+            if o.kind == "alter_column" and o.before.name != o.after.name:
+                raise SchemaError(f"operation {n} ({o.kind}) changes another column")
+            if o.kind == "rename_object":
+                o.before.validate()
+                o.after.validate()
+        return self
+
     def ordered(self) -> Plan:
         return Plan(tuple(sorted(self.operations, key=lambda o: BUCKETS[o.kind])))
 
@@ -49,22 +73,24 @@ def _by_name(things: Iterable[Any]) -> dict[str, Any]:
     return {x.name: x for x in things}
 
 
+def _risk(reasons: dict[str, bool]) -> tuple[str, str]:
+    """A review for all the reasons that hold, or none."""
+    why = "; ".join(text for text, holds in reasons.items() if holds)
+    return (REVIEW, why) if why else (SAFE, "")
+
+
 def _added_column_risk(c: ColumnDef) -> tuple[str, str]:
-    if c.generated:
-        return REVIEW, "a generated column is computed for every row"
-    if c.primary_key or c.unique:
-        return REVIEW, "the rows must be unique by it"
-    if not c.nullable and not c.default:
-        return REVIEW, "rows that are there have no value for it"
-    return SAFE, ""
+    return _risk(
+        {
+            "a generated column is computed for every row": bool(c.generated),
+            "the rows must be unique by it": c.primary_key or c.unique,
+            "rows that are there have no value for it": not c.nullable and not c.default and not c.generated,
+        }
+    )
 
 
 def _altered_column_risk(a: ColumnDef, b: ColumnDef) -> tuple[str, str]:
-    if a.type != b.type:
-        return REVIEW, "values are cast to another type"
-    if a.nullable and not b.nullable:
-        return REVIEW, "rows may hold nulls"
-    return SAFE, ""
+    return _risk({"values are cast to another type": a.type != b.type, "rows may hold nulls": a.nullable and not b.nullable})
 
 
 def _column_operations(a: TableDef, b: TableDef) -> Iterable[Operation]:

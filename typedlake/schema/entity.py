@@ -14,6 +14,7 @@ from .model import ColumnDef, Schema, SchemaError, TableDef
 
 #: SQL types of Python types. Fixed values.
 SQL_TYPES = {str: "text", bool: "boolean", int: "bigint", float: "double precision", bytes: "bytea", dt.datetime: "timestamptz", dt.date: "date", dict: "jsonb"}
+#: Options of a tag. Fixed values.
 OPTIONS = frozenset("column type default generated primaryKey unique notNull nullable readOnly insertOnly updateOnly".split())
 
 
@@ -88,7 +89,34 @@ def table_of(entity: type) -> TableDef:
     columns = tuple(c for f in dataclasses.fields(entity) if (c := _column(f, hints[f.name])))
     table = TableDef(getattr(entity, "__table__", snake_case(entity.__name__)), columns)
     configure: Callable[[TableDef], TableDef] | None = getattr(entity, "configure", None)
-    return configure(table) if configure else table
+    if not configure:
+        return table
+    try:
+        configured = configure(table)
+    except Exception as e:
+        raise SchemaError(f"configure of {entity.__name__} failed: {e}") from e
+    fields = {f.name: c.name for f in dataclasses.fields(entity) if (c := _column(f, hints[f.name]))}
+    return resolved(configured, fields)
+
+
+def resolved(table: TableDef, fields: dict[str, str]) -> TableDef:
+    """The table with the entity's field names in its keys, constraints and indexes turned into column names."""
+
+    def columns(names: tuple[str, ...]) -> tuple[str, ...]:
+        out = tuple(n if table.column(n) else fields.get(n, n) for n in (x.strip() for x in names))
+        for n in out:
+            if not table.column(n):
+                raise SchemaError(f"table {table.name} has no field or column {n}")
+        return out
+
+    own = lambda things: tuple(dataclasses.replace(x, columns=columns(x.columns)) for x in things)
+    return dataclasses.replace(
+        table,
+        primary_key=dataclasses.replace(table.primary_key, columns=columns(table.primary_key.columns)) if table.primary_key else None,
+        uniques=own(table.uniques),
+        foreign_keys=own(table.foreign_keys),
+        indexes=tuple(dataclasses.replace(i, columns=columns(i.columns), include=columns(i.include)) for i in table.indexes),
+    )
 
 
 def parse(*entities: type, schema: Schema = Schema()) -> Schema:

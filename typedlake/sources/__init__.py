@@ -1,5 +1,5 @@
 """Where tables come from and where new rows go."""
 
-from .tables import Workspace, load, publish
+from .tables import Batch, Raw, Workspace, load, publish
 
-__all__ = ["Workspace", "load", "publish"]
+__all__ = ["Batch", "Raw", "Workspace", "load", "publish"]
