@@ -37,14 +37,39 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+#: Folders made in the shared folder and not yet removed, in the order in which they were made.
+made: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends, later passes read columns."""
+    """Write df to the shared folder and read it back: lineage ends, later passes read columns. The folder goes with the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/typedlake-{name}-{uuid4().hex}"
     df.write.parquet(path)
+    goes_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def goes_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the application ends, on whatever file system it lies."""
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    made.append(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders that no frame reads any more."""
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+        made.remove(path)
+
+
 def carried(columns: tuple[str, ...], own: tuple[str, ...]) -> list[Column]:
     """Carried columns under their names, one that an operator has itself as doc_<name>."""
     return [F.col(f"`_c_{c}`").alias(f"doc_{c}" if c in own else c) for c in columns]

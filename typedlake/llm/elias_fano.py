@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from uuid import uuid4
 
 import numpy as np
 
@@ -57,7 +58,7 @@ class Level:
     def save(self, stem: str) -> None:
         """Write the parts under a name of this attempt, then move them: a repeated task changes nothing."""
         for name in self.NAMES:
-            part = f"{stem}.{name}.{os.getpid()}.npy"
+            part = f"{stem}.{name}.{uuid4().hex}.npy"
             np.save(part, getattr(self, name))
             os.replace(part, f"{stem}.{name}.npy")
 

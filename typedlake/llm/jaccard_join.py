@@ -11,8 +11,8 @@ The steps, each a Spark stage over the rows of the one before:
    prefix shingle; equal meeting lists become one;
 5. in each list an R-tree over the count vectors finds pairs whose overlap
    bound, the sum of coordinate minima, still reaches the threshold;
-6. connected candidates are verified on the shingles themselves, large groups
-   in chunks.
+6. connected candidates are verified on the shingles themselves; long lists
+   and large groups are taken in chunks.
 
 Only spanning edges leave steps 5 and 6, so a group of n near copies gives n
 rows and not their pairs.
@@ -20,14 +20,15 @@ rows and not their pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_of, join_groups, may_hold, probe, shuffle_width, stash
+from .common import bloom_of, join_groups, may_hold, probe, shuffle_width, stash, unused
 from .components import connected
 from .words import WordHasher, mix64, shingles
 
@@ -38,6 +39,10 @@ CHUNK = 1 << 13
 BITS = 48
 #: Sets that one task verifies together; larger groups are dealt into chunks of about so many.
 TOGETHER = 2000
+#: Prefix shingles, and sets, that one task gathers, about.
+TASK_TOKENS, TASK_SETS = 4 << 20, 50_000
+#: Occurrences from which a shingle that is far more common than others is gathered by rows.
+HOT = 1 << 20
 
 
 def group_count(n: np.ndarray) -> np.ndarray:
@@ -153,6 +158,31 @@ def stray_edges(sigs: np.ndarray, sets: list[np.ndarray], stray: np.ndarray, mai
     return edges
 
 
+def stray_candidates(sigs: np.ndarray, sizes: np.ndarray, vectors: list[np.ndarray], stray: np.ndarray, main: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Like stray_edges, for pairs that the count vectors can't rule out."""
+    edges, groups = [], np.array([len(v) for v in vectors])
+    others = np.flatnonzero(~stray)
+    stacks = {}
+    for g in np.unique(groups[others]).tolist():
+        at = others[groups[others] == g]
+        stacks[g] = at, np.stack([vectors[i] for i in at])
+    for q in np.flatnonzero(stray).tolist():
+        found = [np.zeros(0, np.int64)]
+        for g in (groups[q] // 2, groups[q], 2 * groups[q]):
+            if g in stacks:
+                at, points = stacks[g]
+                near = np.flatnonzero((sizes[at] * 100 >= sizes[q] * percent) & (sizes[at] * percent <= sizes[q] * 100))
+                points = points[near]
+                if g > groups[q]:
+                    points = points.reshape(len(points), -1, groups[q]).sum(1)
+                bound = np.minimum(points, fold(vectors[q], min(g, groups[q]))).sum(1, dtype=np.int64)
+                found.append(at[near[bound >= needed(sizes[q], sizes[at[near]], percent)]])
+        found = np.concatenate(found)
+        kept = np.concatenate((found[~main[found]], found[main[found]][:1]))
+        edges += [(int(sigs[q]), int(sigs[f])) for f in kept]
+    return edges
+
+
 def _count_shingles(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, counts = WordHasher(), np.zeros(COUNTERS, np.int64)
@@ -176,8 +206,8 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["chunk", "counts"])
 
 
-def shingle_levels(texts: DataFrame, shingle: int) -> np.ndarray:
-    """For each counter how common its shingles are: 0 up to twice the mean, then one more per doubling."""
+def shingle_levels(texts: DataFrame, shingle: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each counter how common its shingles are: 0 up to twice the mean, then one more per doubling; and whether they are hot."""
     width = min(COUNTERS // CHUNK, shuffle_width(texts.sparkSession))
     parts = texts.mapInArrow(_count_shingles(shingle), "chunk int, counts binary")
     summed = parts.repartition(width, "chunk").mapInArrow(_add_counts, "chunk int, counts binary").collect()  # COUNTERS numbers
@@ -186,7 +216,8 @@ def shingle_levels(texts: DataFrame, shingle: int) -> np.ndarray:
         counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
     counts = counts.ravel()
     common = counts / max(2 * counts.mean(), 1.0)
-    return np.clip(np.floor(np.log2(np.maximum(common, 0.5))) + 1, 0, 15).astype(np.uint8)
+    levels = np.clip(np.floor(np.log2(np.maximum(common, 0.5))) + 1, 0, 15).astype(np.uint8)
+    return levels, (counts >= hot) & (common >= 4)
 
 
 def distinct_sets(stretch, shingle: int, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -244,8 +275,22 @@ def _describe(shingle: int, percent: int, levels):
     return run
 
 
-def _deal(width: int):
-    """Prefix shingles with their classes, dealt to so many shards, many rows in one; a task sends a class once."""
+def _hot_tokens(hot):
+    """The hot prefix shingles with their classes, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _binary(batch.column(1))
+            token = data.view(np.uint64)
+            own = hot.value[(token >> np.uint64(BITS - 20)).astype(np.int64)]
+            sig = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets) // 8)
+            yield pa.RecordBatch.from_arrays([pa.array(token[own].view(np.int64)), pa.array(sig[own])], ["list", "sig"])
+
+    return run
+
+
+def _deal(width: int, hot):
+    """Prefix shingles that aren't hot with their classes, dealt to so many shards, many rows in one; a task sends a class once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(0, np.int64)
@@ -256,6 +301,8 @@ def _deal(width: int):
             data, offsets = _binary(batch.column(1))
             token = data.view(np.uint64)
             sig = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(offsets) // 8)
+            cold = ~hot.value[(token >> np.uint64(BITS - 20)).astype(np.int64)]
+            token, sig = token[cold], sig[cold]
             shard = (mix64(token) % np.uint64(width)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(width + 1))
@@ -331,12 +378,26 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _points(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sizes and count vectors of a group's sets."""
+    sizes = t.column("n").to_numpy()
+    return sizes, [np.frombuffer(v, np.uint8 if len(v) == g else np.uint32).astype(np.int32) for v, g in zip(t.column("vector").to_pylist(), group_count(sizes), strict=True)]
+
+
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
-            sizes = t.column("n").to_numpy()
-            vectors = [np.frombuffer(v, np.uint8 if len(v) == g else np.uint32).astype(np.int32) for v, g in zip(t.column("vector").to_pylist(), group_count(sizes), strict=True)]
-            edges = candidate_edges(t.column("sig").to_numpy(), sizes, vectors, percent)
+            edges = candidate_edges(t.column("sig").to_numpy(), *_points(t), percent)
+            if edges:
+                yield _edge_batch(edges)
+
+    return run
+
+
+def _bounded_strays(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches):
+            edges = stray_candidates(t.column("sig").to_numpy(), *_points(t), *(t.column(c).to_numpy().astype(bool) for c in ("stray", "main")), percent)
             if edges:
                 yield _edge_batch(edges)
 
@@ -385,20 +446,48 @@ def _dealt(rows: DataFrame, run, width: int) -> DataFrame:
     return rows.repartition(width, group).sortWithinPartitions(group).mapInArrow(run, "a long, b long")
 
 
-def large_group_edges(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """Edges that connect exactly the linked sets of large groups, never a whole group in one task.
+class Search(NamedTuple):
+    """How the sets of a group are compared: the columns that tell what is in them, and the work on a whole group and on strays."""
+
+    columns: tuple[str, ...]
+    whole: Callable
+    strays: Callable
+
+
+BY_VECTORS = Search(("n", "vector"), _bounded, _bounded_strays)
+BY_SHINGLES = Search(("shingles",), _verified, _strays)
+
 
-    members: root, chunks, sig, shingles. Each chunk of a group is verified
-    alone; then one set of each of its sizeable components meets those of the
-    other chunks; what is not in the group's largest component by then is
-    compared, in blocks, with every chunk.
+def group_edges(members: DataFrame, search: Search, percent: int, width: int, together: int) -> DataFrame:
+    """Edges that connect within each group exactly what is connected, never a group of more than about together sets in one task.
+
+    members: root, sig and the search's columns.
+    """
+    sizes = stash(members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.col("n").alias("_n"), F.ceil(F.col("n") / together).cast("long").alias("chunks")), "groups")
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("chunks"), F.lit(0))).first()
+    width = max(width, -(-total[0] // TASK_SETS))
+    own = members.join(sizes.drop("_n"), "root")
+    edges = _dealt(own.where("chunks = 1").select("root", "sig", *search.columns), search.whole(percent), width)
+    if total[1] > 1:
+        edges = edges.unionByName(large_group_edges(own.where("chunks > 1"), search, percent, width, together))
+    return edges
+
+
+def large_group_edges(members: DataFrame, search: Search, percent: int, width: int, together: int) -> DataFrame:
+    """The same for groups of several chunks.
+
+    Each chunk of a group is worked on alone; then one set of each of its
+    sizeable components meets those of the other chunks, as a smaller group; what is not
+    in the group's largest component by then is compared, in blocks, with
+    every chunk.
     """
+    data = search.columns
     own = stash(members.withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks"))), "large-groups")
-    first = stash(_dealt(own.select(F.xxhash64("root", "chunk").alias("part"), "sig", "shingles"), _verified(percent), width), "large-edges")
+    first = stash(_dealt(own.select(F.xxhash64("root", "chunk").alias("part"), "sig", *data), search.whole(percent), width), "large-edges")
     named = own.join(connected(first).select(F.col("node").alias("sig"), F.col("root").alias("comp")), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    sizeable = named.groupBy("root", "chunk", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig")).where(f"n >= {TOGETHER // 20}")
-    probes = own.join(sizeable.select("root", "sig"), ["root", "sig"], "left_semi").select("root", "sig", "shingles")
-    second = stash(_dealt(probes, _verified(percent), width).unionByName(first), "large-edges")
+    sizeable = named.groupBy("root", "chunk", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("sig").alias("sig")).where(f"n >= {max(2, together // 20)}")
+    probes = stash(own.join(sizeable.select("root", "sig"), ["root", "sig"], "left_semi").select("root", "sig", *data), "large-probes")
+    second = stash(group_edges(probes, search, percent, width, together).unionByName(first), "large-edges")
     named = own.select("root", "chunks", "chunk", "sig").join(connected(second).select(F.col("node").alias("sig"), F.col("root").alias("comp")), "sig", "left")
     named = stash(named.withColumn("comp", F.coalesce("comp", "sig")), "large-named")
     largest = named.groupBy("root", "comp").count().groupBy("root").agg(F.max_by("comp", F.struct("count", "comp")).alias("largest"))
@@ -406,16 +495,16 @@ def large_group_edges(members: DataFrame, percent: int, width: int) -> DataFrame
     flagged = own.join(told, ["root", "sig"])
     strays = flagged.where("not main")
     held = strays.groupBy("root").agg(F.count(F.lit(1)).alias("strays"))
-    blocks = F.ceil(F.col("strays") / TOGETHER).cast("int")
+    blocks = F.ceil(F.col("strays") / together).cast("int")
     where = lambda chunk, block: F.xxhash64("root", chunk, block).alias("part")
     asked = strays.join(held, "root").withColumn("block", F.pmod(F.xxhash64("sig", F.lit(1)), blocks)).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     there = flagged.join(held, "root").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
-    columns = ["part", "sig", "shingles", "stray", "main"]
+    columns = ["part", "sig", *data, "stray", "main"]
     meeting = asked.withColumn("stray", F.lit(True)).withColumn("part", where("at", "block")).select(*columns).unionByName(there.withColumn("stray", F.lit(False)).withColumn("part", where("chunk", "block")).select(*columns))
-    return second.unionByName(_dealt(meeting, _strays(percent), width))
+    return second.unionByName(_dealt(meeting, search.strays(percent), width))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, together: int = TOGETHER) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, together: int = TOGETHER, hot: int = HOT) -> DataFrame:
     """Link documents whose sets of word shingles reach the similarity, and name the components.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a set holds the distinct
@@ -428,63 +517,77 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns id_col, n_shingles, component_id. Candidates lose no link: sets
     that link share a prefix shingle, and count vectors never bound an overlap
-    too low. Hashes have 48 bits within sets and 64 between. A group of
-    candidates larger than together is verified in chunks.
+    too low. Hashes have 48 bits within sets and 64 between. A list of sets
+    that share a prefix shingle and a group of candidates are worked on in
+    chunks where they are larger than together. Shingles that occur hot times,
+    and far more often than others, are gathered by rows and not by arrays.
     """
-    spark = docs.sparkSession
+    keyed = docs.select(docs[f"`{id_col}`"].alias("id"), F.xxhash64(docs[f"`{text_col}`"]).alias("key"), docs[f"`{text_col}`"].alias("text"))
+    out = _components(keyed, shingle, percent, together, hot)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(keyed: DataFrame, shingle: int, percent: int, together: int, hot: int) -> DataFrame:
+    """id, n and component_id of rows of id, key (the text's hash) and text; ids need only an order."""
+    spark = keyed.sparkSession
     width = shuffle_width(spark)
-    keyed = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("key"), docs[text_col].alias("text"))
-    levels = spark.sparkContext.broadcast(shingle_levels(keyed.select("text"), shingle))  # COUNTERS bytes
+    common, frequent = shingle_levels(keyed.select("text"), shingle, hot)
+    levels, often = spark.sparkContext.broadcast(common), spark.sparkContext.broadcast(frequent)  # COUNTERS bytes each
     kind = dict(keyed.dtypes)["id"]
     rows = stash(keyed.mapInArrow(_describe(shingle, percent, levels), f"id {kind}, key long, n long, sig long, prefix binary, vector binary"), "sets")
     classes = stash(
         rows.where("n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.min("key").alias("key"), F.count(F.lit(1)).alias("rows")),
         "classes",
     )
-    dealt = rows.where("n > 0").select("sig", "prefix").mapInArrow(_deal(width), "shard int, tokens binary, sigs binary")
-    lists = stash(dealt.repartition(width, "shard").mapInArrow(_meet, "list long, sig long").dropDuplicates(), "lists")
+    prefixes = rows.where("n > 0").select("sig", "prefix")
+    tokens = prefixes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // 8
+    shards = max(width, -(-tokens // TASK_TOKENS))
+    dealt = prefixes.mapInArrow(_deal(shards, often), "shard int, tokens binary, sigs binary")
+    lists = dealt.repartition(shards, "shard").mapInArrow(_meet, "list long, sig long")
+    if frequent.any():
+        raw = stash(prefixes.mapInArrow(_hot_tokens(often), "list long, sig long").dropDuplicates(), "hot-lists")
+        told = raw.groupBy("list").agg(F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        lists = lists.unionByName(raw.join(told.groupBy("s", "n").agg(F.min("list").alias("list")), "list", "left_semi"))  # equal lists once
+    lists = stash(lists.dropDuplicates(), "lists")
     vectors = may_hold(rows.where("n > 0").select("sig", "n", "vector"), "sig", bloom_of(lists, "sig", lists.count())).dropDuplicates(["sig"])
-    met = lists.join(vectors, "sig").select("list", "sig", "n", "vector")
-    edges = met.repartition(width, "list").sortWithinPartitions("list").mapInArrow(_bounded(percent), "a long, b long")
+    met = lists.withColumnRenamed("list", "root").join(vectors, "sig").select("root", "sig", "n", "vector")
+    edges = group_edges(met, BY_VECTORS, percent, width, together)
     candidates = stash(connected(edges), "candidates")  # node, root
 
     wanted = candidates.join(classes.select(F.col("sig").alias("node"), "key"), "node").select("root", F.col("node").alias("sig"), "key")
     wanted = stash(wanted, "wanted")
-    groups = stash(wanted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / together).cast("long").alias("chunks")), "groups")
-    small, large = groups.where("chunks = 1"), groups.where("chunks > 1")
-
-    def members(of: DataFrame) -> DataFrame:
-        """Sets of the groups' classes, from the text of one document each."""
-        own = wanted.join(of, "root")
-        texts = may_hold(keyed.select("key", "text"), "key", bloom_of(own, "key", own.count()))
-        sets = texts.dropDuplicates(["key"]).join(own.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(_sets(shingle), "key long, shingles binary")
-        return own.join(sets, "key").select("root", "chunks", "sig", "shingles")
-
-    links = _dealt(members(small).select("root", "sig", "shingles"), _verified(percent), width)
-    if not large.isEmpty():
-        links = links.unionByName(large_group_edges(members(large), percent, width))
+    texts = may_hold(keyed.select("key", "text"), "key", bloom_of(wanted, "key", wanted.count()))  # one document of each class
+    sets = texts.dropDuplicates(["key"]).join(wanted.select("key").distinct(), "key", "left_semi").select("key", "text").mapInArrow(_sets(shingle), "key long, shingles binary")
+    members = wanted.join(sets, "key").select("root", "sig", "shingles")
+    links = group_edges(members, BY_SHINGLES, percent, width, together)
     linked = stash(connected(links).join(classes.select(F.col("sig").alias("node"), "id"), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("id").alias("least"))
     named = classes.select("sig", "id", "rows").join(linked.join(least, "root").select(F.col("node").alias("sig"), "least"), "sig", "left")
     named = named.select("sig", "rows", F.coalesce("least", "id").alias("component_id"))
     bare = rows.select("id", "n", "sig")
     out = join_groups(bare.where("n > 0"), named, "sig", "rows", bare.count()).select("id", "n", "component_id")
-    out = out.unionByName(bare.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(bare.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, together: int = TOGETHER, hot: int = HOT) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays.
 
-    Of rows that repeat that id one stays. Rows without an id are kept. Only
-    rows whose id a Bloom filter may hold among those to drop or repeated are
-    shuffled; the others pass straight through.
+    Of rows of one id and component the smallest text hash stays, of equal rows
+    one; rows that share an id only are told apart by their texts. Rows
+    without an id are kept. Null, empty and blank texts are copies of nothing,
+    but equal rows of them still are. Only rows that a Bloom filter may hold among
+    those to drop or repeated are shuffled; the others pass straight through,
+    with all their columns, whatever their names.
     """
-    named = stash(jaccard_components(docs, id_col, text_col, **options), "named")
-    gone = named.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    twice = named.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    suspects = stash(gone.unionByName(twice).distinct(), "suspects")
-    probed = probe(docs, id_col, *bloom_of(suspects, id_col, suspects.count()), "_suspect")
-    clear = probed.where(~F.col("_suspect") | F.col(id_col).isNull()).drop("_suspect")
-    held = probed.where(F.col("_suspect") & F.col(id_col).isNotNull()).drop("_suspect")
-    return clear.unionByName(held.join(gone.distinct(), id_col, "left_anti").dropDuplicates([id_col])).select(*docs.columns)
+    own, print_, suspect = unused(docs, "_row", "_print", "_suspect")
+    told = docs.withColumn(print_, F.xxhash64(docs[f"`{text_col}`"]))
+    keyed = told.select(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(print_).alias("key")).alias("id"), F.col(print_).alias("key"), F.col(f"`{text_col}`").alias("text"))
+    named = _components(keyed, shingle, percent, together, hot).where("not id.none").select("id.id", "id.key", (F.col("id") != F.col("component_id")).alias("gone"))
+    rows = stash(named.groupBy("id", "key").agg(F.max("gone").alias("gone"), F.count(F.lit(1)).alias("n")).where("gone or n > 1").withColumn("row", F.xxhash64("id", "key")), "suspects")
+    marked = told.withColumn(own, F.xxhash64(F.col(f"`{id_col}`"), F.col(print_)))
+    probed = probe(marked, own, *bloom_of(rows, "row", rows.count()), suspect)
+    clear = probed.where(~F.col(suspect) | F.col(f"`{id_col}`").isNull())
+    held = probed.where(F.col(suspect) & F.col(f"`{id_col}`").isNotNull())
+    gone = rows.where("gone").select(F.col("id").alias("_gone_id"), F.col("key").alias("_gone_key"))
+    stays = held.join(gone, (F.col(f"`{id_col}`") == F.col("_gone_id")) & (F.col(print_) == F.col("_gone_key")), "left_anti")
+    return clear.unionByName(stays.dropDuplicates([id_col, print_])).select(*[f"`{c}`" for c in docs.columns])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, shuffle_width
+from .common import goes_at_end, shared_dir, shuffle_width
 from .elias_fano import Level
 from .words import Stretch, WordHasher
 
@@ -30,6 +30,8 @@ END = np.uint64(0x5EED0FE0D0FE0D01)
 STEPS = 4096
 #: A task sends its counts on when it holds so many different ones.
 PENDING = 1 << 22
+#: Tokens of the training texts for each shard of a level, so that what a task gathers doesn't grow with the corpus.
+SHARD = 1 << 22
 #: Words that are looked up at once, with one stretch more below a million: their places then fit 20 bits.
 GROUP = 600_000
 
@@ -272,7 +274,7 @@ def _written(trie: Trie, n: int, shards: int):
 
     def words(shard: int, keys: np.ndarray, counts: np.ndarray) -> None:
         for name, values in (("words", keys), ("counts", counts)):
-            part = f"{trie.stem(1, shard)}.{name}.{os.getpid()}.npy"
+            part = f"{trie.stem(1, shard)}.{name}.{uuid4().hex}.npy"
             np.save(part, values)
             os.replace(part, f"{trie.stem(1, shard)}.{name}.npy")
 
@@ -310,8 +312,14 @@ def train(texts: DataFrame, order: int = 3) -> Trie:
         raise ValueError("memory-mapped levels need a mounted shared folder in spark.checkpoint.dir")
     folder = f"{place.path}/typedlake-trie-{uuid4().hex}"
     os.makedirs(folder)
-    trie, shards = Trie(folder, order), shuffle_width(spark)
+    goes_at_end(spark, f"file:{folder}")
+    trie = Trie(folder, order)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(texts.columns[0])), F.lit(0))).first()[0] // 6  # words, about
     for n in range(1, order + 1):
+        size = trie.tokens if n > 1 else size
+        shards = max(shuffle_width(spark), -(-size // SHARD))
+        if n > 1 and sum(s.entries for s in trie.levels[-1]) * trie.words >= 1 << 64:
+            raise ValueError("contexts and words do not fit one 64-bit number")
         counted = texts.mapInArrow(_counted(trie, n, shards), "shard int, steps binary, counts binary, lower binary")
         rows = counted.repartition(shards, "shard").mapInArrow(_written(trie, n, shards), "shard long, first long, contexts long, entries long, total long").collect()
         found = {r["shard"]: r for r in rows}

@@ -53,11 +53,13 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """Hashes words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. One for each task, for its tables.
 
-    head, up to 8, asks for hashes of the first bytes too. With bare, every ASCII character but letters and digits separates words.
+    head, up to 8, asks for hashes of the first bytes too. With bare, every
+    ASCII character but letters and digits separates words, and letters of
+    every script are lower-cased.
     """
 
     def __init__(self, head: int = 0, bare: bool = False) -> None:
-        self.head = head
+        self.head, self.bare = head, bare
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
         self.kept = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -73,7 +75,10 @@ class WordHasher:
         while first < len(column):
             last = int(np.searchsorted(offsets, offsets[first] + STRETCH, "right")) - 1
             last = min(max(last, first + 1), first + rows, len(column))
-            yield self._stretch(first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            own, cuts = data, offsets[first : last + 1]
+            if self.bare:  # the two small letters of a Greek sigma count as one
+                own, cuts = string_bytes(pc.replace_substring(pc.utf8_lower(column.slice(first, last - first)), "ς", "σ"))
+            yield self._stretch(first, own[cuts[0] : cuts[-1]], cuts - cuts[0])
             first = last
 
     def spans(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
