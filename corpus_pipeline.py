@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typedlake.llm.common import stash
+from typedlake.llm.common import discard, made, stash
 from typedlake.llm.decontaminate import without_leaks
 from typedlake.llm.jaccard_join import one_of_each
 from typedlake.llm.mixing import mixed_texts
@@ -56,10 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read again.
+
+    What a stage leaves there beside its result is removed when the result is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(made)
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             docs = stash(docs, name)
+            discard(spark, made[before:-1])
     return docs
