@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from typedlake.llm.common import join_groups, running_total
 from typedlake.llm.exact_dedup import exact_dedup
-from typedlake.llm.jaccard_join import jaccard_components, one_of_each
-from typedlake.llm.mixing import mix, mixed_texts, permuted, taken_of, targets_of
+from typedlake.llm.jaccard_join import fold, jaccard_components, needed, one_of_each, stray_candidates
+from typedlake.llm.mixing import closing_counts, mix, mixed_texts, permuted, shard_counts, taken_of, targets_of
 from typedlake.llm.sharding import cut, shard, smallest_capacity
 
 import numpy as np
@@ -102,12 +102,46 @@ def test_jaccard(odd):
             least[root(k)].append(i)
     wanted = Counter((i, len(sets[k]), min(least[root(k)], default=None) if sets[k] else i) for k, (i, _) in enumerate(source))
     assert Counter(tuple(r) for r in jaccard_components(odd).collect()) == wanted
-    for few in (2, 3, 5):  # groups in chunks give the same components
-        assert Counter(tuple(r) for r in jaccard_components(odd, together=few).collect()) == wanted
+    # lists and groups in chunks, and shingles gathered by rows, give the same components
+    assert Counter(tuple(r) for r in jaccard_components(odd, together=3, hot=2).collect()) == wanted
+    stay = {}  # of a component its least id, and of that id's texts one
+    for k, (i, t) in enumerate(source):
+        if i is not None and i == min(least[root(k)]):
+            stay.setdefault((root(k) if sets[k] else (i, t)), (i, t))
     left = one_of_each(odd)
     ids = Counter(r["doc_id"] for r in left.select("doc_id").collect())
-    assert left.columns == odd.columns and all(n == 1 for i, n in ids.items() if i is not None)
-    assert {i for i in ids if i is not None} == {c for _, _, c in wanted if c is not None}
+    assert left.columns == odd.columns and ids[None] == sum(i is None for i, _ in source)
+    assert Counter({i: n for i, n in ids.items() if i is not None}) == Counter(i for i, _ in stay.values())
+
+
+def test_rows_of_one_id_that_are_no_copies_stay(spark):
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(3)
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a + " x"), (3, c), (4, b), (None, a)]
+    left = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in left.collect()) == Counter([(1, a), (1, b), (3, c), (None, a)])
+
+
+def test_count_vectors_rule_out_no_link_across_chunks():
+    rng = np.random.default_rng(4)
+    base = [np.bincount(rng.integers(0, 16, 100), minlength=16) for _ in range(3)]
+    vectors = [np.maximum(b + rng.integers(-1, 2, 16), 0) for b in base for _ in range(6)]
+    vectors += [np.repeat(v, 2) // 2 for v in vectors[:4]]  # twice the groups
+    sizes = np.array([v.sum() for v in vectors])
+    stray, main = rng.random(len(vectors)) < 0.5, np.zeros(len(vectors), bool)
+    got = set(stray_candidates(np.arange(len(vectors)), sizes, vectors, stray, main, 80))
+    plain = set()
+    for q in np.flatnonzero(stray):
+        for o in np.flatnonzero(~stray):
+            g = min(len(vectors[q]), len(vectors[o]))
+            bound = np.minimum(fold(vectors[q], g), fold(vectors[o], g)).sum()
+            if bound >= needed(sizes[q], sizes[o], 80) and 80 * sizes[q] <= 100 * sizes[o] and 80 * sizes[o] <= 100 * sizes[q]:
+                plain.add((q, o))
+    assert got == plain and plain
 
 
 def test_mix(odd):
@@ -125,6 +159,18 @@ def test_mix(odd):
     assert texts.columns == odd.columns and mixed == taken
 
 
+def test_shards_are_multinomial_and_their_sums_near_the_targets():
+    share = np.array([5.0, 3.0, 2.0, 0.0])
+    draws = np.array([shard_counts(1000, share, 7, at) for at in range(400)])
+    assert (draws.sum(1) == 1000).all() and (draws[:, 3] == 0).all()
+    assert np.allclose(draws.mean(0), [500, 300, 200, 0], atol=5)
+    assert np.allclose(draws.var(0)[:3], [250, 210, 160], rtol=0.3)  # n p (1 - p)
+    assert (draws == [shard_counts(1000, share, 7, at) for at in range(400)]).all()
+    closing = np.array(closing_counts([1000] * 64, 6400 * share, 7, 0))
+    assert np.abs(closing.sum(0) - 6400 * share).max() < 100 and closing[:32, 0].std() > 8
+    assert shard_counts(0, share, 7, 0).sum() == 0 and shard_counts(5, np.zeros(2), 7, 0).sum() == 0
+
+
 def test_targets():
     assert targets_of([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
     out = targets_of([10, 1000, 0], [3, 1, 2])

@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 
 from .common import unused
 
-#: Formats, in the order in which they are tried at a place. Fixed values. Runs without a bound are single characters or
-#: possessive, so that no text, however long, can exhaust the stack or make the search go back over itself.
+#: Formats, in the order in which they are tried at a place. Fixed values. All runs are bounded, so that no text, however long,
+#: can exhaust the stack or make the search go back over itself, and no value is longer than a few hundred characters.
 KINDS = [
-    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@(?=[A-Za-z0-9])[A-Za-z0-9.\-]{1,255}(?<=\.[A-Za-z]{2,63})"),
+    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?=[A-Za-z0-9])[A-Za-z0-9.\-]{1,255}(?<=\.[A-Za-z]{2,63})"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|\.\d)"),
     ("date", r"(?<![\d\-/.])(?:\d{4}[\-/.](?:0[1-9]|1[0-2])[\-/.](?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[\-/.](?:0[1-9]|1[0-2])[\-/.]\d{4}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/\d{4})(?![\d\-/]|\.\d)"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?(?!OTHER)\d{2,4}){1,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\w\-])"),
     ("card", r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])"),
-    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[abp])[_\-][A-Za-z0-9_\-]{16,})(?![A-Za-z0-9])"),
+    ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[abp])[_\-][A-Za-z0-9_\-]{16,255})(?![A-Za-z0-9])"),
 ]
 #: A phone number ends where a value of another format begins.
 OTHER = "|".join(f"(?:{p})" for k, p in KINDS if k in ("email", "ip", "date", "ssn", "card"))
@@ -66,11 +66,9 @@ def _permuted(key: str, value: Column, alphabets: list[str]) -> Column:
 
     def half(own: Column, other: Column, turn: Column) -> Column:
         hashed = F.sha2(F.concat_ws("/", F.lit(key), turn.cast("string"), F.length(own).cast("string"), F.lower(other)), 512)
-        moved = F.transform(
-            F.split(own, ""),
-            lambda c, i: _moved(c, F.conv(F.substr(hashed, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int"), alphabets),
-        )
-        return F.array_join(moved, "")
+        by = lambda h, i: F.conv(F.substr(h, (i % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        moved = lambda h: F.array_join(F.transform(F.split(own, ""), lambda c, i: _moved(c, by(h, i), alphabets)), "")
+        return F.get(F.transform(F.array(hashed), moved), F.lit(0))  # hashed once, not for each character
 
     def turned(s: Column, turn: Column) -> Column:
         return F.when(turn % 2 == 0, F.struct(half(s["l"], s["r"], turn).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), half(s["r"], s["l"], turn).alias("r")))
