@@ -85,6 +85,15 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """For applications that own their session: send Python workers at most so many rows at once.
+
+    Texts are long, and workers share an executor's memory. The operators leave the session's settings alone.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
