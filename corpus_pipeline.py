@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from typedlake.llm.common import discard, made, stash
+from typedlake.llm.common import discard, made, small_batches, stash
 from typedlake.llm.decontaminate import without_leaks
 from typedlake.llm.jaccard_join import one_of_each
 from typedlake.llm.mixing import mixed_texts
@@ -20,16 +20,19 @@ from typedlake.llm.sharding import shard
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the importance sample takes; those that it rejects go."""
+    small_batches(spark)
     return keep_sampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
+    small_batches(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
