@@ -16,7 +16,7 @@ from typedlake.llm import chat, decontaminate, pii
 from typedlake.llm.elias_fano import Level, pack, unpack
 from typedlake.llm.html_text import FEATURES, LABELLED, decide, extract, labelled_table, main_text, train_tree
 from typedlake.llm.lm_score import lm_scores
-from typedlake.llm.quality import BUCKETS, ERRORS, FACTORS, RAW, keep_sampled, kth_largest, ratios, sampled, weigh
+from typedlake.llm.quality import ERRORS, FACTORS, RAW, keep_sampled, kth_largest, ratios, sampled, weigh
 from typedlake.llm.words import WordHasher, ngrams, shingles
 
 from ..conftest import DATA
@@ -348,7 +348,7 @@ def test_quality(spark):
     rng = random.Random(9)
     good = [words(rng, rng.randint(20, 60)) for _ in range(300)]
     junk = [" ".join(w + "###" for w in words(rng, 40).split()) for _ in range(60)]
-    toxic = [edited(g, rng, 2) + " zzscum" + rng.choice("abc") for g in good[:60]]
+    toxic = [edited(g, rng, 2) + " zzscum" + rng.choice("abc") + " vvfool" for g in good[:60]]
     texts = good + junk + toxic + [None, "", " "]
     docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(texts)] + [(None, good[0], "x", "y", "z")], "doc_id long, text string, draw string, log_weight string, _text string")
     labels = spark.createDataFrame([(i, int(i < 300 or i >= 360), int(i >= 360)) for i in range(0, 420, 2)] + [(0, 1, 0), (9999, 1, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
@@ -361,24 +361,23 @@ def test_quality(spark):
 
 def test_ratios_against_a_plain_count():
     rng = np.random.default_rng(3)
-    raw = np.zeros((1, BUCKETS))
-    counts, documents = np.zeros((3, 1, BUCKETS)), np.zeros((3, 1, BUCKETS))
-    raw[0, :50] = rng.integers(50, 500, 50)
-    counts[:, 0, :50] = rng.integers(0, 60, (3, 50))
-    counts[1, 0, :5] += 400
-    documents[:, 0, :50] = np.minimum(counts[:, 0, :50], 40)
-    got = ratios(raw, counts, documents)
+    raw, counts, documents = np.zeros(60), np.zeros((3, 60)), np.zeros((3, 60))
+    raw[:50] = rng.integers(50, 500, 50)
+    counts[:, :50] = rng.integers(0, 60, (3, 50))
+    counts[1, :5] += 400
+    documents[:, :50] = np.minimum(counts[:, :50], 40)
+    got = ratios(raw, counts, documents, np.array([raw.sum(), *counts.sum(1), *documents.sum(1)]))
     for c in (1, 2):
         n = [counts[k].sum() for k in range(3)]
         d = [documents[k].sum() for k in range(3)]
         for b in range(50):
-            p = [(1 - RAW) * counts[k, 0, b] / n[k] + RAW * raw[0, b] / raw.sum() for k in (c, 0)]
-            here, there = documents[c, 0, b], documents[0, 0, b]
+            p = [(1 - RAW) * counts[k, b] / n[k] + RAW * raw[b] / raw.sum() for k in (c, 0)]
+            here, there = documents[c, b], documents[0, b]
             e = (here + there) * d[c] / (d[c] + d[0])
             g = 2 * sum(x * math.log(x / y) for x, y in ((here, e), (there, here + there - e)) if x)
             log = math.log(p[0] / p[1])
-            assert math.isclose(got[c - 1, 0, b], log if g >= ERRORS**2 and abs(log) >= FACTORS[c] else 0.0, abs_tol=1e-3)
-    assert (got[:, 0, 50:] == 0).all() and (got != 0).any()
+            assert math.isclose(got[c - 1, b], log if g >= ERRORS**2 and abs(log) >= FACTORS[c] else 0.0, abs_tol=1e-3)
+    assert (got[:, 50:] == 0).all() and (got != 0).any()
 
 
 class _Fixed:

@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from .common import shuffle_width, stash, unused
 from .words import Stretch, WordHasher, mix64, ngrams, shingles
 
-#: Hash buckets of each kind of n-gram; their number is fixed, and so is what is broadcast (6 MB).
+#: Hash buckets of each kind of n-gram; their number is fixed, and so is what is broadcast (8 MB).
 BUCKETS = 1 << 18
 CHUNK = 1 << 13
-#: Bytes of the word-initial n-grams.
-HEAD = 5
-#: The kinds of n-grams: words, beginnings of words, pairs of words.
-KINDS = 3
+RANGES = BUCKETS // CHUNK
+#: The sums of a kind's seven tables.
+TOTALS = [f"t{k}" for k in range(7)]
+#: Bytes of the n-grams at the beginnings and ends of words.
+HEAD, TAIL = 5, 3
+#: The kinds of n-grams: words, beginnings of words, ends of words, pairs of words.
+KINDS = 4
 #: Classes of text by label: the target, then what raw text is made of beside it.
 TARGET, TOXIC, POOR = range(3)
 #: A class has a probability of its own for a bucket where the documents that hold it differ from the target's by this many
@@ -43,7 +46,8 @@ def _grams(s: Stretch) -> list[tuple[np.ndarray, np.ndarray]]:
         first = np.flatnonzero(np.arange(len(s.hashes)) + 2 <= ends)
         pairs[s.hashes[first] == s.hashes[first + 1]] = TWICE
     bucket = lambda hashes: (hashes >> np.uint64(64 - 18)).astype(np.int64)
-    return [(bucket(s.hashes), s.rows), (bucket(s.heads), s.rows), (bucket(pairs), rows)]
+    own = s.rows
+    return [(bucket(s.hashes), own), (bucket(s.heads), own), (bucket(s.tails), own), (bucket(pairs), rows)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +55,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A document counts once more for every doubling of the n-gram in it.
     """
-    hasher, counts = WordHasher(HEAD), np.zeros((7, KINDS, BUCKETS), np.int64)
+    hasher, counts = WordHasher(HEAD, tail=TAIL), np.zeros((7, KINDS, BUCKETS), np.int64)
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for s in hasher.stretches(batch.column(0)):
@@ -64,40 +68,53 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     once, times = np.unique(row[some] * BUCKETS + where[some], return_counts=True)
                     counts[4 + c, kind] += np.bincount(once % BUCKETS, np.floor(np.log2(times)) + 1, BUCKETS).astype(np.int64)
     if counts.any():
-        parts = counts.reshape(-1, CHUNK)
-        some = np.flatnonzero(parts.any(1))
-        small = np.minimum(parts[some], 2**32 - 1).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([c.tobytes() for c in small], pa.binary())], ["chunk", "counts"])
+        for chunk in range(KINDS * RANGES):  # a range of buckets of one kind, in all tables
+            kind, part = divmod(chunk, RANGES)
+            own = np.minimum(counts[:, kind, part * CHUNK : (part + 1) * CHUNK], 2**32 - 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["chunk", "counts"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of each range, and how much there is in each table."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.uint32).astype(np.int64)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["chunk", "counts"])
+            sums[chunk] = sums.get(chunk, 0) + np.frombuffer(counts, np.uint32).astype(np.int64).reshape(7, CHUNK)
+    for chunk, own in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([own.tobytes()], pa.binary()), *(pa.array([int(t)]) for t in own.sum(1))], ["chunk", "counts", *TOTALS])
 
 
-def ratios(raw: np.ndarray, counts: np.ndarray, documents: np.ndarray) -> np.ndarray:
-    """Log ratio of each class's model to the target's for every kind and bucket, 0 where they share a probability.
+def ratios(raw: np.ndarray, counts: np.ndarray, documents: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Log ratio of each class's model to the target's for some buckets of one kind, 0 where they share a probability.
 
-    raw: counts of all text, kinds by buckets. counts, documents: n-grams, and
-    documents that hold them, by class. Each model is interpolated with the raw one.
+    raw: counts of all text. counts, documents: n-grams, and documents that
+    hold them, by class. totals: the sums of the seven over all buckets of
+    the kind. Each model is interpolated with the raw one.
     """
-    share = lambda x: x / np.maximum(x.sum(-1, keepdims=True), 1)
-    log = np.log((1 - RAW) * share(counts) + RAW * share(raw) + 1e-12)
+    totals = np.maximum(totals, 1).astype(float)
+    log = np.log((1 - RAW) * counts / totals[1:4, None] + RAW * raw / totals[0] + 1e-12)
     out = log - log[TARGET]
     with np.errstate(divide="ignore", invalid="ignore"):
         for c in FACTORS:
             here, there = documents[c], documents[TARGET]
-            expected = (here + there) * (here.sum(1, keepdims=True) / np.maximum((here + there).sum(1, keepdims=True), 1))
+            expected = (here + there) * (totals[4 + c] / (totals[4 + c] + totals[4 + TARGET]))
             part = lambda n, e: np.where(n > 0, n * np.log(n / e), 0.0)
             evidence = 2 * (part(here, expected) + part(there, here + there - expected))
             out[c][(evidence < ERRORS**2) | (np.abs(out[c]) < FACTORS[c])] = 0.0
     return out[1:].astype(np.float32)
 
 
+def _ratios(totals: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(data, np.int64).reshape(7, CHUNK)
+                found = ratios(own[0], own[1:4], own[4:], totals[chunk // RANGES])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([found.tobytes()], pa.binary())], ["chunk", "ratios"])
+
+    return run
+
+
 class Model:
     """The shares of the classes, and the log ratios of all but the target, by kind and bucket."""
 
@@ -135,17 +152,18 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labelled: int) -> DataFrame:
-    """id and class of at most so many labelled documents, in hash order of the id; of near copies one stays."""
+    """id and class of at most so many labelled documents, in hash order of the id; of near copies of one class one stays."""
     kind = F.when(F.coalesce("toxic", F.lit(0)) != 0, TOXIC).when(F.col("quality") == 1, TARGET).otherwise(POOR)
     usable = labels.where(F.col(id_col).isNotNull() & (F.col("quality").isNotNull() | (F.coalesce("toxic", F.lit(0)) != 0))).select(F.col(id_col).alias("id"), kind.alias("class"))
     usable = usable.groupBy("id").agg(F.max("class").alias("class")).orderBy(F.xxhash64("id", F.lit(1)), "id").limit(labelled)
     usable = stash(usable, "labelled")
     texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).join(F.broadcast(usable.select("id")), "id", "left_semi")
     kept = stash(texts.mapInArrow(_prints, f"id {dict(texts.dtypes)['id']}, " + ", ".join(f"p{k} long" for k in range(PRINTS))), "prints")
+    kept = kept.dropDuplicates(["id"]).join(usable, "id")
     for k in range(PRINTS):
-        others = [F.min_by(c, "id").alias(c) for c in kept.columns if c not in ("id", f"p{k}")]
-        kept = kept.groupBy(f"p{k}").agg(F.min("id").alias("id"), *others)
-    return stash(usable.join(kept.select("id").distinct(), "id"), "classes")
+        others = [F.min_by(c, "id").alias(c) for c in kept.columns if c not in ("id", "class", f"p{k}")]
+        kept = kept.groupBy("class", f"p{k}").agg(F.min("id").alias("id"), *others)
+    return stash(kept.select("id", "class"), "classes")
 
 
 def fit(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Model | None:
@@ -156,14 +174,17 @@ def fit(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Mode
     if not shares[TARGET] or not shares[1:].any():
         return None
     texts = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).join(F.broadcast(classes), "id", "left").select("text", F.coalesce("class", F.lit(-1)).alias("class"))
-    total = 7 * KINDS * BUCKETS
-    width = min(total // CHUNK, shuffle_width(docs.sparkSession))
-    parts = texts.mapInArrow(_count, "chunk int, counts binary").repartition(width, "chunk").mapInArrow(_add, "chunk int, counts binary").collect()  # 7 * KINDS * BUCKETS numbers
-    counts = np.zeros((total // CHUNK, CHUNK))
-    for r in parts:
-        counts[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    counts = counts.reshape(7, KINDS, BUCKETS)
-    return Model(shares / shares.sum(), ratios(counts[0], counts[1:4], counts[4:]))
+    width = min(KINDS * RANGES, shuffle_width(docs.sparkSession))
+    sums = texts.mapInArrow(_count, "chunk int, counts binary").repartition(width, "chunk").mapInArrow(_add, "chunk int, counts binary, " + ", ".join(f"{t} long" for t in TOTALS))
+    sums = stash(sums, "counts")
+    totals = np.zeros((KINDS, 7))
+    for r in sums.groupBy(F.floor(F.col("chunk") / RANGES).alias("kind")).agg(*[F.sum(t).alias(t) for t in TOTALS]).collect():
+        totals[r["kind"]] = [r[t] for t in TOTALS]
+    found = np.zeros((2, KINDS, BUCKETS), np.float32)
+    for r in sums.select("chunk", "counts").mapInArrow(_ratios(totals), "chunk int, ratios binary").collect():  # 2 * KINDS * BUCKETS numbers
+        kind, part = divmod(r["chunk"], RANGES)
+        found[:, kind, part * CHUNK : (part + 1) * CHUNK] = np.frombuffer(r["ratios"], np.float32).reshape(2, CHUNK)
+    return Model(shares / shares.sum(), found)
 
 
 def weigh(docs: DataFrame, model, id_col: str, text_col: str, seed: int) -> tuple[DataFrame, str, str]:
@@ -178,7 +199,7 @@ def weigh(docs: DataFrame, model, id_col: str, text_col: str, seed: int) -> tupl
     keyed = docs.select("*", own_text.alias(text), F.xxhash64(docs[f"`{id_col}`"], own_text, F.lit(seed)).alias(noise_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(HEAD)
+        hasher = WordHasher(HEAD, tail=TAIL)
         for batch in batches:
             weight = np.zeros(batch.num_rows)
             for s in hasher.stretches(batch.column(text_at)):

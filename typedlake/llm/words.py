@@ -16,13 +16,14 @@ STRETCH = 1 << 21
 class Stretch(NamedTuple):
     """Words of the rows first..first+len(counts)-1: a hash each, in order, and how many each row has.
 
-    heads hashes the first bytes of each word, where the hasher is asked to.
+    heads and tails hash the first and last bytes of each word, where the hasher is asked to.
     """
 
     first: int
     hashes: np.ndarray
     counts: np.ndarray
     heads: np.ndarray | None = None
+    tails: np.ndarray | None = None
 
     @property
     def starts(self) -> np.ndarray:
@@ -53,13 +54,13 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class WordHasher:
     """Hashes words [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. One for each task, for its tables.
 
-    head, up to 8, asks for hashes of the first bytes too. With bare, every
+    head and tail, up to 8, ask for hashes of the first and last bytes too. With bare, every
     ASCII character but letters and digits separates words, and letters of
     every script are lower-cased.
     """
 
-    def __init__(self, head: int = 0, bare: bool = False) -> None:
-        self.head, self.bare = head, bare
+    def __init__(self, head: int = 0, bare: bool = False, tail: int = 0) -> None:
+        self.head, self.tail, self.bare = head, tail, bare
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
         self.kept = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
@@ -109,7 +110,9 @@ class WordHasher:
                 done += 8
                 long = long[size[long] > done]
         heads = mix64((eight[start] & self.kept[np.minimum(size, self.head)]) + np.uint64(self.head << 56)) if self.head else None
-        return Stretch(first, hashes, np.diff(np.searchsorted(start, offsets)), heads)
+        last = np.minimum(size, self.tail)
+        tails = mix64((eight[end - last] & self.kept[last]) + np.uint64(self.tail << 56 | 1 << 55)) if self.tail else None
+        return Stretch(first, hashes, np.diff(np.searchsorted(start, offsets)), heads, tails)
 
 
 def ngrams(stretch: Stretch, n: int) -> tuple[np.ndarray, np.ndarray]:
