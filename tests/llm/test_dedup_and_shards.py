@@ -42,6 +42,8 @@ def test_empty_tables(nothing):
 def test_carried_columns(odd):
     got = exact_dedup(odd, carry=("text", "kept", "id"))
     assert got.count() == odd.count() and got.columns[-3:] == ["text", "doc_kept", "id"]
+    both = exact_dedup(odd.withColumn("doc_kept", F.lit(1)), carry=("kept", "doc_kept"))
+    assert both.columns[-2:] == ["doc_kept", "doc_doc_kept"] and both.select("doc_doc_kept").distinct().count() == 1
 
 
 def test_shards(odd):

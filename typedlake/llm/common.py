@@ -71,8 +71,15 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 
 
 def carried(columns: tuple[str, ...], own: tuple[str, ...]) -> list[Column]:
-    """Carried columns under their names, one that an operator has itself as doc_<name>."""
-    return [F.col(f"`_c_{c}`").alias(f"doc_{c}" if c in own else c) for c in columns]
+    """Carried columns under their names, one that an operator has itself, or another carried one, as doc_<name>."""
+    taken, out = {c.lower() for c in own}, []
+    for c in columns:
+        name = c
+        while name.lower() in taken:
+            name = f"doc_{name}"
+        taken.add(name.lower())
+        out.append(F.col(f"`_c_{c}`").alias(name))
+    return out
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
