@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Mode
     return Model(shares / shares.sum(), found)
 
 
-def weigh(docs: DataFrame, model, id_col: str, text_col: str, seed: int) -> tuple[DataFrame, str, str]:
+def weigh(docs: DataFrame, model: Callable[[], Model], id_col: str, text_col: str, seed: int) -> tuple[DataFrame, str, str]:
     """The rows of docs with their weight and draw, a whole number in the order of the weight plus Gumbel noise.
 
     The noise is keyed by id and text, so reruns and retries agree. Returns
@@ -199,11 +199,11 @@ def weigh(docs: DataFrame, model, id_col: str, text_col: str, seed: int) -> tupl
     keyed = docs.select("*", own_text.alias(text), F.xxhash64(docs[f"`{id_col}`"], own_text, F.lit(seed)).alias(noise_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher(HEAD, tail=TAIL)
+        hasher, fitted = WordHasher(HEAD, tail=TAIL), model()
         for batch in batches:
             weight = np.zeros(batch.num_rows)
             for s in hasher.stretches(batch.column(text_at)):
-                weight[s.first : s.first + len(s.counts)] = model.value.weights(s)
+                weight[s.first : s.first + len(s.counts)] = fitted.weights(s)
             noise = mix64(batch.column(text_at + 1).to_numpy().view(np.uint64))
             uniform = ((noise >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
             bits = (weight - np.log(-np.log(uniform))).view(np.int64)
@@ -228,7 +228,7 @@ def kth_largest(draws: DataFrame, k: int) -> int:
     return known
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = 50_000, seed: int = 6) -> tuple[DataFrame, int | None, object]:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = 50_000, seed: int = 6) -> tuple[DataFrame, int | None, Callable[[], Model]]:
     """Weigh all rows and find where Gumbel top-k ends.
 
     The weight of a text is log(target / raw): the probability under the
@@ -244,13 +244,18 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     labelled row of the target and one of another class all rows are kept.
 
     Returns the weighed ids (id_col, log_weight, draw), the k-th largest draw
-    (None: keep all) and the broadcast model. Rows that tie at it are all
+    (None: keep all) and what gives a task the model. Rows that tie at it are all
     kept. A null or empty text has the weight of a text without evidence. Other columns are not read.
     """
     spark = docs.sparkSession
     fitted = fit(docs, labelled_rows(docs, labels, id_col, text_col, labelled), id_col, text_col)
     plain = docs.select(docs[f"`{id_col}`"].alias(id_col), docs[f"`{text_col}`"].alias(text_col))
-    model = spark.sparkContext.broadcast(fitted or Model(np.ones(1), np.zeros((0, KINDS, BUCKETS), np.float32)))
+    shares, found = (fitted.shares, fitted.log_ratios) if fitted else (np.ones(1), np.zeros((0, KINDS, BUCKETS), np.float32))
+    sent = spark.sparkContext.broadcast((shares, found))  # arrays only: executors need not have this package
+
+    def model() -> Model:
+        return Model(*sent.value)
+
     weights = stash(weigh(plain, model, id_col, text_col, seed)[0].select(id_col, "log_weight", "draw"), "weights")
     k = weights.where(F.col("log_weight") >= fitted.edge).count() if fitted else 0
     return weights, (kth_largest(weights, k) if k else None), model
