@@ -6,8 +6,8 @@ spans of its turns meet the token spans by binary search.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -23,6 +23,11 @@ START, MESSAGE, END = "<|start|>", "<|message|>", "<|end|>"
 CONTROL = re.compile(r"(<)(\\*)(?=\||/?s>)|(\[)(\\*)(?=/?INST\])|(<<)(\\*)(?=/?SYS>>)")
 ESCAPED = re.compile(r"(<)\\(\\*)(?=\||/?s>)|(\[)\\(\\*)(?=/?INST\])|(<<)\\(\\*)(?=/?SYS>>)")
 
+#: How a text is cut before its pieces are encoded. A fixed value of byte-level vocabularies.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: Runs of white space that the cutting can't take at once.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
 FORMATTED = "formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
 
 
@@ -75,7 +80,51 @@ def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.n
     return [formatted[x:y] for x, y in zip(begin, stop, strict=True)]
 
 
-def format_chats(conversations: DataFrame, tokenizer: str = "/opt/tokenizers/byte_bpe_50k.json", learn: tuple[str, ...] = ("assistant",), id_col: str = "conv_id") -> DataFrame:
+class Encoder:
+    """A byte-level encoder with the template's marks, from the lines of a rank file; offsets follow from the tokens' bytes."""
+
+    def __init__(self, lines: bytes) -> None:
+        import tiktoken
+
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines.splitlines() if line.strip())}
+        first = max(ranks.values()) + 2
+        self.marks = {mark: first + k for k, mark in enumerate((START, MESSAGE, END))}
+        self.encoding = tiktoken.Encoding("chat", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=self.marks)
+        self.allowed = set(self.marks)
+        self.lengths = np.zeros(first + len(self.marks), np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
+        for mark, rank in self.marks.items():
+            self.lengths[rank] = len(mark)
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.encoding.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
+        except ValueError:  # white space too long for the cutting: the same pieces, cut by hand
+            return np.array([i for part in re.split("(" + "|".join(map(re.escape, self.marks)) + ")", text) for i in self._cut(part)], np.uint32)
+
+    def _cut(self, part: str) -> list[int]:
+        if part in self.marks:
+            return [self.marks[part]]
+        out, at = [], 0
+        for run in LONG_SPACE.finditer(part):
+            end = run.end() - (run.end() < len(part))  # the last one goes with what follows
+            out += self.encoding.encode_ordinary(part[at : run.start()]) + self.encoding._encode_single_piece(part[run.start() : end])
+            at = end
+        return out + self.encoding.encode_ordinary(part[at:])
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each token starts and ends in code points; a token within a character has the whole of it."""
+        ids = self.ids(text)
+        ends = np.cumsum(self.lengths[ids])
+        starts = ends - self.lengths[ids]
+        if not text.isascii():
+            place = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
+            starts, ends = place[starts] - 1, place[ends - 1]
+        return ids.astype(np.int32), starts.astype(np.int32), ends.astype(np.int32)
+
+
+def format_chats(conversations: DataFrame, tokenizer: str, learn: tuple[str, ...] = ("assistant",), id_col: str = "conv_id") -> DataFrame:
     """Render, encode and mask every conversation.
 
     Turns are ordered by turn, then role, then text; repeated rows are turns of
@@ -83,33 +132,29 @@ def format_chats(conversations: DataFrame, tokenizer: str = "/opt/tokenizers/byt
     conversation. A conversation is one unit and goes to one task whole; an
     empty table gives an empty result; other columns are not read. The loss
     mask is over tokens and covers the texts of the roles in learn, without
-    the marks around them. The tokenizer file is read on the driver and sent
+    the marks around them. tokenizer names a rank file of a byte-level
+    vocabulary, which is read on the driver and sent
     to the tasks (a few MB); its marks are added as tokens, so no token runs
     over the edge of a turn.
 
     Returns id_col, formatted, token_ids, token_starts, token_ends (offsets
     in code points) and loss_mask.
     """
-    with open(tokenizer, encoding="utf-8") as f:
+    with open(tokenizer, "rb") as f:
         vocabulary = conversations.sparkSession.sparkContext.broadcast(f.read())
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy(id_col).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_str(vocabulary.value)
-        encoder.add_special_tokens([START, MESSAGE, END])
+        encoder = Encoder(vocabulary.value)
         for pdf in parts:
             out: dict[str, list] = {k: [] for k in ("formatted", "token_ids", "token_starts", "token_ends", "loss_mask")}
             for turns in pdf["turns"]:
                 pairs = [(t["role"], t["text"]) for t in turns]
                 text, spans = render(pairs)
-                encoded = encoder.encode(text, add_special_tokens=False)
-                offsets = np.array(encoded.offsets, np.int32).reshape(-1, 2)
-                mask = mask_of(offsets[:, 0], offsets[:, 1], spans, [role in learn for role, _ in pairs])
-                for k, v in zip(out, (text, np.array(encoded.ids, np.int32), offsets[:, 0].copy(), offsets[:, 1].copy(), mask), strict=True):
+                ids, starts, ends = encoder.encode(text)
+                mask = mask_of(starts, ends, spans, [role in learn for role, _ in pairs])
+                for k, v in zip(out, (text, ids, starts, ends, mask), strict=True):
                     out[k].append(v)
             yield pd.DataFrame({id_col: pdf[id_col], **out})
 
